@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import mixing, pii, quality, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op3_rules": rules.op3_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
