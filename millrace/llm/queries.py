@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, rules
+from . import mixing, near, pii, quality, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_rules": rules.op3_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op8_near": near.op8_near,
     "op10_quality": quality.op10_quality,
 }
 
