@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near, pii, quality, rules
+from . import mixing, near, passages, pii, quality, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_passages": passages.op2_passages,
     "op3_rules": rules.op3_rules,
     "op5_mixing": mixing.op5_mixing,
     "op8_near": near.op8_near,
