@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, near, passages, pii, quality, rules
+from . import leaks, mixing, near, passages, pii, quality, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_passages": passages.op2_passages,
     "op3_rules": rules.op3_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op6_leaks": leaks.op6_leaks,
     "op8_near": near.op8_near,
     "op10_quality": quality.op10_quality,
 }
 
 SQL = {
     "op5_mixing": mixing.SQL,
+    "op6_leaks": leaks.SQL,
 }
