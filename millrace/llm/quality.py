@@ -17,11 +17,10 @@ BITS = 20
 #: Besides whole words, their first so many bytes are features: inflected forms share them.
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled documents, those whose ids hash lowest, are used to fit; every document is scored.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 #: A document is kept if it has the top grade with at least this probability.
 KEEP = 0.5
 
-FEATURES = T.ArrayType(T.IntegerType())
 SCORE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
 
 
@@ -59,7 +58,7 @@ def features(text: bytes | None) -> set[int]:
     return slots
 
 
-def fit(rows: list[list[int]], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, least: int = 6, z: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, least: int = 6, z: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(grade <= k) = logistic(thresholds[k] - sum of weights), by penalised likelihood.
 
     Only slots with a clear sign of their own get a weight: ``least`` rows or more have them, and these miss the top
@@ -71,8 +70,8 @@ def fit(rows: list[list[int]], grades: list[int], n_grades: int = 3, steps: int
     if not rows:
         return weights, np.arange(n_grades - 1) - 50.0
     sizes = np.array([len(r) for r in rows])
-    slots = np.concatenate([np.asarray(r, np.int64) for r in rows]) if sizes.sum() else np.zeros(0, np.int64)
-    owner, y = np.repeat(np.arange(len(rows)), sizes), np.asarray(grades)
+    slots = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+    owner, y = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.asarray(grades)
     below = y < n_grades - 1
     rate = np.clip(below.mean(), 1e-3, 1 - 1e-3)
     n, bad = np.bincount(slots, minlength=1 << BITS), np.bincount(slots, below[owner], minlength=1 << BITS)
@@ -102,11 +101,11 @@ def fit(rows: list[list[int]], grades: list[int], n_grades: int = 3, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", n_grades: int = 3, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """fit() over at most ``most`` labelled documents; null ids and grades are left out, equal texts of a grade count once."""
-    extract = F.arrow_udf(lambda text: pa.array([sorted(features(t)) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int32())), FEATURES)
+    extract = F.arrow_udf(lambda text: pa.array([np.array(sorted(features(t)), np.int32).tobytes() for t in text.cast(pa.binary()).to_pylist()], pa.binary()), T.BinaryType())
     chosen = labels.select(F.col(id_col).alias("__id"), grade.cast("int").alias("grade")).dropna().orderBy(F.xxhash64("__id"), "grade").limit(most)
     got = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(extract(text_col).alias("f"), "grade").collect()
-    once = sorted({(tuple(r.f), r.grade) for r in got})
-    return fit([list(f) for f, _ in once], [g for _, g in once], n_grades)
+    once = sorted({(bytes(r.f), r.grade) for r in got})
+    return fit([np.frombuffer(f, np.int32) for f, _ in once], [g for _, g in once], n_grades)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", out_col: str = "quality") -> DataFrame:
