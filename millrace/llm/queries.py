@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, mixing, near, passages, pii, quality, rules
+from . import leaks, lines, mixing, near, passages, pii, quality, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_rules": rules.op3_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_leaks": leaks.op6_leaks,
+    "op7_lines": lines.op7_lines,
     "op8_near": near.op8_near,
     "op10_quality": quality.op10_quality,
 }
