@@ -137,3 +137,16 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS, id_
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+y AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS word FROM x),
+f AS (SELECT line, first(doc_id ORDER BY doc_id, i) AS d, first(i ORDER BY doc_id, i) AS i FROM y WHERE word GROUP BY line),
+m AS (SELECT a.line AS a, b.line AS b, (b.d, b.i) < (a.d, a.i) AS b_first FROM f a JOIN f b ON length(b.line) BETWEEN length(a.line) AND length(a.line) + 1 AND length(a.line) >= 20 AND a.line <> b.line AND (length(a.line) < length(b.line) OR a.line < b.line)
+  AND (left(a.line, length(a.line) // 2) = left(b.line, length(a.line) // 2) OR right(a.line, length(a.line) - length(a.line) // 2) = right(b.line, length(a.line) - length(a.line) // 2)) AND len(list_filter(range(1, length(b.line) + 1), lambda i: left(a.line, i - 1) = left(b.line, i - 1) AND substr(a.line, i + 1 - (length(b.line) - length(a.line))) = substr(b.line, i + 1))) > 0),
+e AS (SELECT line, count(*) AS n, bool_or(late) AS late FROM (SELECT a AS line, b_first AS late FROM m UNION ALL SELECT b, NOT b_first FROM m) GROUP BY line),
+z AS (SELECT y.*, f.line IS NOT NULL AS is_first, coalesce(e.late, false) AS late, coalesce(e.n, 0) AS n FROM y LEFT JOIN f ON y.line = f.line AND y.doc_id = f.d AND y.i = f.i LEFT JOIN e ON y.line = e.line)
+SELECT doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (word AND NOT (is_first AND NOT late)) AS n_dropped, coalesce(sum(n) FILTER (word AND is_first), 0)::BIGINT AS n_links,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT word OR (is_first AND NOT late)), '')) AS kept_sha256 FROM z GROUP BY doc_id
+"""

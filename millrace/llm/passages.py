@@ -207,3 +207,13 @@ def drop_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM x WHERE s IN (SELECT s FROM x GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(d.w) AS n, coalesce(len(g.gone), 0) AS k, CASE WHEN g.gone IS NULL THEN d.w ELSE list_select(d.w, list_filter(range(1, len(d.w) + 1), lambda i: NOT list_contains(g.gone, i))) END AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, k::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_passages": passages.SQL,
     "op5_mixing": mixing.SQL,
     "op6_leaks": leaks.SQL,
+    "op7_lines": lines.SQL,
+    "op8_near": near.SQL,
     "op9_urls": urls.SQL,
 }
