@@ -132,3 +132,33 @@ def session_for(name_or_model: str | Model) -> Session:
     if name not in _sessions:
         raise NotFound(f"no session {name!r}")
     return _sessions[name]
+
+
+@dataclass
+class Database:
+    """A named session on an endpoint (``file:///folder`` or any scheme Hadoop reads), migrated at its start if asked to."""
+
+    name: str
+    endpoint: str
+    catalog: Catalog = field(default_factory=Catalog)
+    enable_migrate: bool = False
+    name_overwrite: str = ""
+    session: Session | None = None
+
+    def apply_catalog(self, *catalogs: Catalog) -> Database:
+        self.catalog.require(*catalogs)
+        register_catalog(self.name, self.catalog)
+        return self
+
+    def init(self, spark: SparkSession) -> Session:
+        e = Endpoint.parse(self.endpoint).patched(name=self.name_overwrite)
+        folder = e.path if e.scheme == "file" else f"{e.scheme}://{e.host}{f':{e.port}' if e.port else ''}/{e.path}"
+        register_catalog(self.name, self.catalog)
+        self.session = Session(spark, folder, self.catalog, self.name)
+        return self.session
+
+    def run(self, current: Catalog | None = None) -> dict:
+        """Migrates from ``current``, the catalog that the tables were written with."""
+        from millrace.migrate import migrate
+
+        return migrate(self.session, current or Catalog(), self.catalog) if self.enable_migrate else {}

@@ -192,3 +192,17 @@ def test_pushdown_reaches_the_scan(spark):
 def test_raw_set_and_group_helpers(users):
     block = o.aggregate(from_all(USER), f.count(f.distinct(USER.f_deleted_at)).as_("n"), f.max_(fragment("f_age")).as_("top"))
     assert tuple(compile_block(block, users).first()) == (2, 40)
+
+
+def test_database_migrates_its_tables(spark, tmp_path):
+    from millrace.session import Database
+
+    old = Model.of("t_item", "f_id long, f_name string")
+    new = Model("t_item", (Col("f_id", "long"), Col("f_name", deprecated="f_title"), Col("f_title"), Col("f_rank", "int", default=3)))
+    db = Database("items", f"file://{tmp_path}")
+    db.apply_catalog(Catalog.of(old)).init(spark).commit(values(spark, old, [{"f_id": 1, "f_name": "x"}]))
+    assert db.run() == {}
+    moved = Database("items", f"file://{tmp_path}", Catalog.of(new), enable_migrate=True)
+    session = moved.init(spark)
+    assert [a.kind for a in moved.run(Catalog.of(old))["t_item"]] == ["rename column", "add column"]
+    assert session.read(new).first().asDict() == {"f_id": 1, "f_title": "x", "f_rank": 3}
