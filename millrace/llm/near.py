@@ -18,8 +18,10 @@ ROWS = 5
 #: A linked pair shares no band with at most this probability.
 MISS = 1e-6
 BITS = 256
-#: A candidate is looked at in full unless its estimate is lower than the threshold by so many standard deviations.
-SLACK = 6.0
+#: Samples and bits of the finer sketches, made of the documents that share a band only.
+FINE_SAMPLES, FINE_BITS = 1024, 2048
+#: A candidate is looked at in full unless its sketches differ more than at the threshold by so many standard deviations.
+SLACK = 5.0
 BROADCAST_IDS = 1_000_000
 
 SIGN = T.StructType([T.StructField("n", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -29,44 +31,74 @@ def bands_for(threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
 
 
-def limit_for(threshold: float, samples: int) -> int:
-    """Most differing bits of two odd sketches that leave a similarity of ``threshold`` possible."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / samples)
-    expected = BITS / 2 * (1 - math.exp(-4 * samples * (1 - least) / BITS))
-    return math.ceil(expected + 3 * math.sqrt(BITS) / 4)
+def limit_for(threshold: float, samples: int, bits: int) -> int:
+    """Most differing bits of two odd sketches that leave a similarity of ``threshold`` possible.
 
-
-def sign(texts: list[bytes | None], n_bands: int) -> pa.StructArray:
-    """SIGN of each text: size and 128-bit hash of its shingle set, hashes of its bands, odd sketch.
-
-    The sketch flips, for each of the MinHash samples, one bit that the sample's number and value name: bits that differ
-    between two sketches count the samples that differ.
+    Each of the samples that differ, binomial in number, flips two random bits.
     """
-    samples = n_bands * ROWS
+    expected = bits / 2 * (1 - math.exp(-4 * samples * (1 - threshold) / bits))
+    slope = 2 * math.exp(-4 * samples * (1 - threshold) / bits)
+    spread = math.sqrt(slope**2 * samples * threshold * (1 - threshold) + bits / 4 * (1 - math.exp(-8 * samples * (1 - threshold) / bits)))
+    return math.ceil(expected + SLACK * spread)
+
+
+def odd_sketches(least: np.ndarray, salt: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps, as rows of longs, of columns of MinHash samples: a sample flips the bit that its number and value name."""
+    k = least.shape[1]
+    flips = np.zeros(k * bits, np.int32)
+    for i in range(0, len(least), 64):
+        at = (mix(least[i : i + 64] ^ salt[i : i + 64, None]) % U(bits)).astype(np.int64) + np.arange(k) * bits
+        flips += np.bincount(at.ravel(), minlength=k * bits).astype(np.int32)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(k, bits // 64) if k else np.zeros((0, bits // 64), np.int64)
+
+
+def samples_of(x: np.ndarray, sizes: np.ndarray, samples: int) -> np.ndarray:
+    """MinHash samples (rows) of the sets (columns) that are not empty."""
+    full = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[full]
     factor = mix(np.arange(1, samples + 1, dtype=U)) | U(1)
-    salt = mix(np.arange(1001, 1001 + samples, dtype=U))
-    n, hi, lo, bands, sketch = [], [], [], [], []
-    for _, x, sizes in blocks(texts):
-        full = sizes > 0
-        starts = (np.cumsum(sizes) - sizes)[full]
-        k = int(full.sum())
-        least = np.empty((samples, k), U)
-        for i in range(samples):
-            least[i] = np.minimum.reduceat(x * factor[i], starts) if k else 0
-        b = mix((least.reshape(n_bands, ROWS, k) * factor[:ROWS, None]).sum(1) + salt[:n_bands, None]).T
-        at = (mix(least ^ salt[:, None]) >> U(64 - 8)).astype(np.int64) + np.arange(k) * BITS
-        bits = (np.bincount(at.ravel(), minlength=k * BITS) & 1).astype(np.uint8)
-        odd = np.packbits(bits).view(np.int64).reshape(k, BITS // 64) if k else np.zeros((0, BITS // 64), np.int64)
-        sums = [np.add.reduceat(v, starts) if k else np.zeros(0, U) for v in (x, mix(x ^ U(0x5851F42D4C957F2D)))]
-        for out, values, width in ((hi, sums[0], 0), (lo, sums[1], 0), (bands, b, n_bands), (sketch, odd, BITS // 64)):
-            whole = np.zeros((len(sizes), width) if width else len(sizes), np.int64)
-            whole[full] = values.view(np.int64) if values.flags.c_contiguous else np.ascontiguousarray(values).view(np.int64)
-            out.append(whole)
-        n.append(sizes)
-    if not texts:
-        n, hi, lo, bands, sketch = ([np.zeros(0, np.int64)],) * 5
-    flat = lambda parts, width: pa.ListArray.from_arrays(np.arange(0, (len(texts) + 1) * width, width, dtype=np.int32), np.concatenate(parts).ravel())
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (n, hi, lo)] + [flat(bands, n_bands), flat(sketch, BITS // 64)], SIGN.names)
+    least = np.empty((samples, len(starts)), U)
+    for i in range(samples):
+        least[i] = np.minimum.reduceat(x * factor[i], starts) if len(starts) else 0
+    return least
+
+
+def _salt(samples: int) -> np.ndarray:
+    return mix(np.arange(1001, 1001 + samples, dtype=U))
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * width, width, dtype=np.int32), rows.ravel())
+
+
+def sign(texts: list[bytes | None], n_bands: int) -> pa.StructArray:
+    """SIGN of each text: size and 128-bit hash of its shingle set, hashes of its bands, odd sketch."""
+    samples, salt = n_bands * ROWS, _salt(n_bands * ROWS)
+    factor = mix(np.arange(1, ROWS + 1, dtype=U)) | U(1)
+    n = np.zeros(len(texts), np.int64)
+    hi, lo = np.zeros((2, len(texts)), np.int64)
+    bands, sketch = np.zeros((len(texts), n_bands), np.int64), np.zeros((len(texts), BITS // 64), np.int64)
+    for first, x, sizes in blocks(texts):
+        at = first + np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        n[first : first + len(sizes)] = sizes
+        if not len(at):
+            continue
+        least = samples_of(x, sizes, samples)
+        hi[at], lo[at] = (np.add.reduceat(v, starts).view(np.int64) for v in (x, mix(x ^ U(0x5851F42D4C957F2D))))
+        sums = mix((least.reshape(n_bands, ROWS, len(at)) * factor[:, None]).sum(1) + salt[:n_bands, None])
+        bands[at] = np.ascontiguousarray(sums.T).view(np.int64)
+        sketch[at] = odd_sketches(least, salt, BITS)
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(hi), pa.array(lo), _lists(bands), _lists(sketch)], SIGN.names)
+
+
+def fine(texts: list[bytes | None]) -> pa.ListArray:
+    """The finer odd sketch of each text."""
+    out = np.zeros((len(texts), FINE_BITS // 64), np.int64)
+    for first, x, sizes in blocks(texts, 200_000):
+        out[first + np.flatnonzero(sizes)] = odd_sketches(samples_of(x, sizes, FINE_SAMPLES), _salt(FINE_SAMPLES), FINE_BITS)
+    return _lists(out)
 
 
 @lru_cache(64)
@@ -86,11 +118,11 @@ def _linked(percent: int):
     return F.arrow_udf(apply, T.BooleanType())
 
 
-def _alike(a: str, b: str, percent: int, limit: int) -> Column:
+def _alike(a: str, b: str, percent: int, samples: int, bits: int) -> Column:
     """Sizes and sketches of two sides allow a link."""
-    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(bits // 64)), F.lit(0))
     small_, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (100 * small_ >= percent * large) & (differ <= limit)
+    return (100 * small_ >= percent * large) & (differ <= limit_for(percent / 100, samples, bits))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,14 +131,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Texts with equal shingle sets are one class, of their smallest id. Classes that share a band meet in two rounds.
     First each is compared with the smallest of its band only: groups of near copies become stars. Then, in bands whose
     members are not all connected yet, those outside the smallest one's component are compared with all members of
-    other components. Every pair that shares a band is thus compared or already connected, and no dense group's pairs
+    other components, by finer sketches. Every pair that shares a band is thus compared or already connected, and no dense group's pairs
     are ever listed. Estimates rule pairs out; what they let pass is confirmed on the full sets.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null id are kept, with a null component.
     Rows that repeat an id are one document (its first text in byte order confirms links). Other columns are ignored.
     """
     n_bands = bands_for(percent / 100)
-    limit = limit_for(percent / 100, n_bands * ROWS)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signer = F.arrow_udf(lambda text: sign(text.cast(pa.binary()).to_pylist(), n_bands), SIGN)
     signed = written(source.select("id", signer("text").alias("s")).select("id", "s.*"), "signed")
@@ -125,15 +156,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(info.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("ia")), "a").join(info.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("ib")), "b")
-    links = confirmed(pairs.where(_alike("ia", "ib", percent, limit)).select("a", "b"))
+    links = confirmed(pairs.where(_alike("ia", "ib", percent, n_bands * ROWS, BITS)).select("a", "b"))
 
     label = components(links)
     known = members.join(label.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     known = known.join(label.withColumnsRenamed({"node": "hub", "component": "hc"}), "hub", "left").withColumn("hc", F.coalesce("hc", "hub"))
     open_ = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    known = written(known.join(open_, "key").join(info, "rep").select("key", F.struct("rep", "c", "hc", "n", "sketch").alias("q")), "open")
+    known = written(known.join(open_, "key"), "unconnected")
+    finer = F.arrow_udf(lambda text: fine(text.cast(pa.binary()).to_pylist()), T.ArrayType(T.LongType()))
+    sharp = texts.join(known.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("rep"), finer("text").alias("sketch"))
+    sharp = sharp.join(info.select("rep", "n"), "rep")
+    known = written(known.join(sharp, "rep").select("key", F.struct("rep", "c", "hc", "n", "sketch").alias("q")), "open")
     others, asked = known.withColumnRenamed("q", "m"), known.where("q.c <> q.hc")
-    met = asked.join(others, (asked["key"] == others["key"]) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hc")) | (F.col("q.rep") < F.col("m.rep"))) & _alike("q", "m", percent, limit))
+    met = asked.join(others, (asked["key"] == others["key"]) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hc")) | (F.col("q.rep") < F.col("m.rep"))) & _alike("q", "m", percent, FINE_SAMPLES, FINE_BITS))
     more = confirmed(met.select(F.least("q.rep", "m.rep").alias("a"), F.greatest("q.rep", "m.rep").alias("b")).distinct())
     for t in (members, known, texts):
         forget(t)
