@@ -40,9 +40,9 @@ def segment_keys(line: Column, n: Column, edits: int) -> list[Column]:
             for shift in range(low, high + 1):
                 own = gap == 0 and shift == 0
                 piece = F.substring(line, start + shift, length)
-                fits = (start + shift >= 1) & (start + shift + length - 1 <= n)
-                key = F.xxhash64((n - gap), F.lit(i), piece)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(0 if own else 1).alias("kind"), F.lit(i).alias("seg"), F.lit(gap).alias("gap"))))
+                found = F.struct(F.xxhash64((n - gap), F.lit(i), piece).alias("key"), F.lit(0 if own else 1).alias("kind"), F.lit(i).alias("seg"), F.lit(gap).alias("gap"))
+                # with one edit a segment's only place is always inside
+                out.append(found if edits <= 1 else F.when((start + shift >= 1) & (start + shift + length - 1 <= n), found))
     return out
 
 
@@ -74,26 +74,26 @@ def near_lines(lines: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS) ->
     candidates only.
     """
     fit = lines.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, edits + 1)).select("h1", "h2", "line", "n")
-    key = F.explode(F.filter(F.array(*segment_keys(F.col("line"), F.col("n"), edits)), lambda s: s.isNotNull()))
-    keyed = fit.select("h1", "h2", key.alias("k")).select("h1", "h2", "k.*")
+    keyed = fit.select("h1", "h2", F.explode(F.array(*segment_keys(F.col("line"), F.col("n"), edits))).alias("k")).where("k IS NOT NULL").select("h1", "h2", "k.*")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("kind").alias("own")).where("x <> y AND own = 0").select("key")
-    members = written(keyed.join(shared, "key").distinct(), "segments")
+    members = written(keyed.join(small(written(shared, "shared"), BROADCAST_ROWS), "key").distinct(), "segments")
+    ids = members.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct()
+    ids = small(written(ids, "wanted"), BROADCAST_ROWS)
+    texts = fit.join(ids, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    texts = written(texts.withColumn("n", F.length("line")), "texts")
     if edits == 1:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
         hot = written(sizes.where(F.col("size") > HOT).select(F.col("key").alias("hot")), "hot")
         plain = members.join(hot, F.col("key") == F.col("hot"), "left_anti")
-        finer = F.explode(F.array(*finer_keys(F.col("line"), F.col("n"), F.col("k.key"), F.col("k.seg"), F.col("k.gap"))))
-        again = fit.select("h1", "h2", "line", "n", key.alias("k")).join(small(hot, BROADCAST_ROWS), F.col("k.key") == F.col("hot"))
-        again = again.select("h1", "h2", "k.kind", finer.alias("key")).distinct()
+        finer = F.explode(F.array(*finer_keys(F.col("line"), F.col("n"), F.col("key"), F.col("seg"), F.col("gap"))))
+        again = members.join(small(hot, BROADCAST_ROWS), F.col("key") == F.col("hot")).join(texts, ["h1", "h2"])
+        again = written(again.select("h1", "h2", "kind", finer.alias("key")).distinct(), "finer")
         alone = again.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
         members = plain.select("h1", "h2", "kind", "key").union(again.join(alone, "key").select("h1", "h2", "kind", "key"))
     own = members.where("kind = 0").select(F.col("key"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     probes = members.select(F.col("key").alias("p"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), "kind")
     met = own.join(probes, (F.col("key") == F.col("p")) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & ((F.col("kind") == 1) | (F.struct("a1", "a2") < F.struct("b1", "b2"))))
     met = written(met.select("a1", "a2", "b1", "b2").distinct(), "candidates")
-    ids = met.select(F.col("a1").alias("w1"), F.col("a2").alias("w2")).union(met.select("b1", "b2")).distinct()
-    ids = small(written(ids, "wanted"), BROADCAST_ROWS)
-    texts = fit.join(ids, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     a, b = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}t")) for x in "ab")
     pairs = met.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     close = pairs.where(F.levenshtein("at", "bt", edits).between(1, edits))
