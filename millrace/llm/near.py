@@ -143,10 +143,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     signed = written(source.select("id", signer("text").alias("s")).select("id", "s.*"), "signed")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    banded = classes.select("rep", F.explode("bands").alias("key"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    members = written(banded.join(shared, "key").select("key", "rep", "hub"), "members")
-    info = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    members = written(banded.join(shared, "key").select("key", "band", "rep", "hub"), "members")
+    info = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep"])
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = written(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
@@ -165,10 +165,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     known = written(known.join(open_, "key"), "unconnected")
     finer = F.arrow_udf(lambda text: fine(text.cast(pa.binary()).to_pylist()), T.ArrayType(T.LongType()))
     sharp = texts.join(known.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("rep"), finer("text").alias("sketch"))
-    sharp = sharp.join(info.select("rep", "n"), "rep")
-    known = written(known.join(sharp, "rep").select("key", F.struct("rep", "c", "hc", "n", "sketch").alias("q")), "open")
+    sharp = sharp.join(info.select("rep", "n", "bands"), "rep")
+    known = written(known.join(sharp, "rep").select("key", "band", F.struct("rep", "c", "hc", "n", "sketch", "bands").alias("q")), "open")
     others, asked = known.withColumnRenamed("q", "m"), known.where("q.c <> q.hc")
-    met = asked.join(others, (asked["key"] == others["key"]) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hc")) | (F.col("q.rep") < F.col("m.rep"))) & _alike("q", "m", percent, FINE_SAMPLES, FINE_BITS))
+    # a pair that shares several bands meets in the first of them only
+    before = sum((((F.lit(i) < asked["band"]) & (F.col("q.bands")[i] == F.col("m.bands")[i])).cast("int") for i in range(n_bands)), F.lit(0)) == 0
+    met = asked.join(others, (asked["key"] == others["key"]) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hc")) | (F.col("q.rep") < F.col("m.rep"))) & _alike("q", "m", percent, FINE_SAMPLES, FINE_BITS) & before)
     more = confirmed(met.select(F.least("q.rep", "m.rep").alias("a"), F.greatest("q.rep", "m.rep").alias("b")).distinct())
     for t in (members, known, texts):
         forget(t)
