@@ -197,8 +197,7 @@ def drop_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     cut, n = blocked(docs, id_col, text_col)
-    words = cut.select("__block", text_col)
-    sent = words.groupBy("__block").applyInArrow(_send(text_col, window, n), SENT)
+    sent = cut.groupBy("__block").applyInArrow(_send(text_col, window, n), SENT)
     told = sent.groupBy("bucket").applyInArrow(_count(window), TOLD)
     schema = T.StructType(docs.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return cut.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(_remove(text_col, window, n, to_arrow_schema(schema)), schema)
