@@ -6,10 +6,9 @@ DataFrame and SQL functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, small, table, written
+from .common import small, table, written
 
 WIDTH = 5
 #: Sketch values or candidate documents up to this number are broadcast (16 to 32 bytes each); more are shuffled.
@@ -17,7 +16,8 @@ BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    bare = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
 def shingles(w: str) -> Column:
@@ -27,16 +27,11 @@ def shingles(w: str) -> Column:
     return F.when(n > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
-def _chained(df: DataFrame, w: str, out: str) -> DataFrame:
-    """df with ``out``: 64-bit hash of each shingle, from word hashes: 1 + 1, 2 + 2, 4 + 1 words. Each array is computed once."""
-    join = lambda a, b: F.xxhash64(a, b)
-    df = df.withColumn("__h1", F.transform(w, lambda x: F.xxhash64(x))).drop(w)
-    df = df.withColumn("__h2", F.zip_with("__h1", F.slice("__h1", F.lit(2), F.greatest(F.size("__h1"), F.lit(1))), join))
-    df = df.withColumn("__h4", F.zip_with("__h2", F.slice("__h2", F.lit(3), F.greatest(F.size("__h2"), F.lit(1))), join))
-    five = F.zip_with(F.slice("__h4", F.lit(1), F.size("__h1") - (WIDTH - 1)), F.slice("__h1", F.lit(WIDTH), F.size("__h1")), join)
-    short = F.array(F.aggregate("__h1", F.size("__h1").cast("long"), join))
-    df = df.withColumn(out, F.when(F.size("__h1") >= WIDTH, five).when(F.size("__h1") > 0, short).otherwise(F.array().cast("array<bigint>")))
-    return df.drop("__h1", "__h2", "__h4")
+def hashes(w: str) -> Column:
+    """64-bit hash of each shingle of the column ``w``, in order, repeats included."""
+    n = F.size(w)
+    five = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WIDTH)]))
+    return F.when(n >= WIDTH, five).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def sketches(items: DataFrame, percent: int) -> DataFrame:
@@ -46,7 +41,7 @@ def sketches(items: DataFrame, percent: int) -> DataFrame:
     hashes: one more than a set of the class's largest size can miss at ``percent``. A document that holds enough of an
     item therefore holds at least one value of its sketch, whatever the document's own size.
     """
-    h = _chained(items.select("item", "w"), "w", "h").withColumn("h", F.array_sort(F.array_distinct("h")))
+    h = items.select("item", F.array_sort(F.array_distinct(hashes("w"))).alias("h"))
     most = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("h").cast("double"))))
     length = (most - F.ceil(most * percent / 100) + 1).cast("int")
     return h.where(F.size("h") > 0).select(F.explode(F.slice("h", F.lit(1), length)).alias("value"), "item")
@@ -55,7 +50,7 @@ def sketches(items: DataFrame, percent: int) -> DataFrame:
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, item_col, n_item, n_shared) of each document that has percent/100 or more of an item's distinct shingles.
 
-    Words are lower-cased in A-Z. Null and empty texts have no shingles: such items match nothing. A set of fewer than
+    Words are lower-cased. Null and empty texts have no shingles: such items match nothing. A set of fewer than
     WIDTH words has one shingle, so short items are found as whole documents only. Null ids count as an id; rows that
     repeat an id give a pair if any of their texts does, once. Other columns are ignored. Documents with a sketch value
     of an item are candidates; these alone are read again and compared shingle by shingle.
@@ -64,7 +59,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: str
     bench = written(bench, "items")
     sketch = small(written(sketches(bench, percent).distinct(), "sketch"), BROADCAST_ROWS)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    probes = _chained(source.select("id", words(F.col("text")).alias("w")), "w", "h").select("id", F.explode("h").alias("value"))
+    probes = source.select("id", words(F.col("text")).alias("w")).select("id", F.explode(hashes("w")).alias("value"))
     found = written(probes.join(sketch, "value").select("id", "item").distinct(), "candidates")
     wanted = small(written(found.select(F.col("id").alias("wanted")).distinct(), "wanted"), BROADCAST_ROWS)
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("id", words(F.col("text")).alias("w"))
@@ -87,8 +82,8 @@ def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-b AS (SELECT item_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 ds AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
 bs AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
 n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),

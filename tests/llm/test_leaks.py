@@ -4,7 +4,7 @@ from millrace.llm.leaks import drop_leaks, find_leaks
 
 
 def shingle_set(text):
-    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    w = (text or "").lower().encode().split()
     if not w:
         return set()
     return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
