@@ -25,7 +25,7 @@ FLOORS = (0.05, 0.35, 0.35, 0.35, 0.7)
 #: A source with fewer documents is judged with the other small ones of its language; a group below LEAST not at all.
 MIN_GROUP, LEAST = 200, 30
 #: The share of a group that the estimates rest on, and how many concentration steps lead there.
-HALF, STEPS = 0.75, 5
+HALF, STEPS = 0.5, 5
 #: Squared distance beyond which a text is rejected, on a scale on which the group's median is that of chi-square. Clean
 #: texts have heavy tails (short ones with one repeated line reach 160); junk starts beyond 600.
 MEDIAN, CUT = 4.351, 250.0

@@ -54,3 +54,29 @@ def test_junk_goes_and_clean_stays(spark):
     out = rules.op3_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     shares = {r.quality: r.kept for r in out.where("n_words >= 50").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert shares[0] < 0.1 and shares[1] > 0.95
+
+
+def prose(rng, n, lang, source, start=0):
+    """Rows of clean texts: distinct words on a few lines, a small share with one symbol."""
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 200))]
+        words[7] += "&" if rng.random() < 0.1 else ""
+        rows.append((start + i, " ".join(words[:30]) + "\n" + " ".join(words[30:]), lang, source))
+    return rows
+
+
+def kept(spark, rows):
+    out = rules.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()
+    return {r.doc_id: r.rules for r in out}
+
+
+def test_copies_of_one_junk_text_in_two_fifths_of_a_group(spark):
+    rng = random.Random(5)
+    clean = prose(rng, 300, "en", "web")
+    junk = "\n".join(["buy*** now$$$ " + " ".join(f"w{i}#" for i in range(30 * k, 30 * k + 30)) for k in range(3)])
+    for share in (0.35, 0.4):
+        n = int(300 * share / (1 - share))
+        out = kept(spark, clean + [(1000 + i, junk, "en", "web") for i in range(n)])
+        assert not any(out[1000 + i].kept for i in range(n))
+        assert sum(out[i].kept for i in range(300)) >= 297
