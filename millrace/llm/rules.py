@@ -22,8 +22,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Smallest standard deviation of each transformed statistic: most texts have no symbol and no repeat at all, and the
 #: half of them that lies closest together would otherwise have no spread.
 FLOORS = (0.05, 0.35, 0.35, 0.35, 0.7)
-#: A source with fewer documents is judged with the other small ones of its language; a group below LEAST not at all.
-MIN_GROUP, LEAST = 200, 30
+#: Every language and source has estimates of its own, however small; they count as size / (size + PRIOR), the rest is its
+#: language's, which counts likewise against that of all texts. Estimates of so many texts are about as firm as the latter.
+PRIOR = 40
 #: The share of a group that the estimates rest on, and how many concentration steps lead there.
 HALF, STEPS = 0.5, 5
 #: Squared distance beyond which a text is rejected, on a scale on which the group's median is that of chi-square. Clean
@@ -111,13 +112,48 @@ def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
     return now
 
 
+def _shrunk(rows: pd.DataFrame, d: int) -> pd.DataFrame:
+    """Centre and inverse covariance of each source, from its own estimates (centre0...), its language's (1) and those of all texts (2)."""
+    pairs = list(combinations_with_replacement(range(d), 2))
+    at = [[pairs.index((min(i, j), max(i, j))) for j in range(d)] for i in range(d)]
+    centre = cov = None
+    for k in (2, 1, 0):
+        own = np.array(rows[f"centre{k}"].tolist()).reshape(-1, d)
+        spread = np.linalg.inv(np.array(rows[f"inverse{k}"].tolist()).reshape(-1, len(pairs))[:, at]) * (np.maximum(rows[f"median{k}"].to_numpy(), MEDIAN / 4) / MEDIAN)[:, None, None]
+        size = rows[f"size{k}"].to_numpy().astype(float)
+        w = np.ones_like(size) if centre is None else size / (size + PRIOR)
+        centre = own if centre is None else w[:, None] * own + (1 - w[:, None]) * centre
+        cov = spread if cov is None else w[:, None, None] * spread + (1 - w[:, None, None]) * cov
+    inverse = np.linalg.inv(cov)
+    return pd.DataFrame({"e_lang": rows["lang"], "e_source": rows["source"], "centre": centre.tolist(), "inverse": [[float(m[i, j]) for i, j in pairs] for m in inverse]})
+
+
+def shrunk(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """(e_lang, e_source, centre, inverse) of each source of rows(lang, source, x), where ``centres`` are the rows' mcd().
+
+    Covariances are scaled so that a group's median squared distance is MEDIAN, then each source's estimates are shrunk
+    to its language's, and these to those of all texts, by size (PRIOR).
+    """
+    d = len(FLOORS)
+    group = centres.select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), "centre", "inverse")
+    met = F.col("lang").eqNullSafe(F.col("e_lang")) & (F.col("source") == F.col("e_source"))
+    scale = rows.join(small(group, BROADCAST_GROUPS), met).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx(_distance("x", "centre", "inverse", d), 0.5, 1000).alias("median"))
+    whole = written(scale.join(group, met).drop("e_lang", "e_source"), "scale")
+    of = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("centre", "inverse", "median", "size")]
+    one = whole.where("source LIKE '=%'").select("lang", "source", *of(0))
+    langs = small(whole.where("source = '*'").select(F.col("lang").alias("l_lang"), *of(1)), BROADCAST_GROUPS)
+    full = one.join(langs, F.col("lang").eqNullSafe(F.col("l_lang"))).drop("l_lang").crossJoin(F.broadcast(whole.where("source = '**'").select(*of(2))))
+    return full.mapInPandas(lambda it: (_shrunk(x, d) for x in it if len(x)), "e_lang string, e_source string, centre array<double>, inverse array<double>")
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "rules", cut: float = CUT) -> DataFrame:
     """docs without their text, with ``out_col``: (stats..., base_failed, distance, kept). Replaces a column of that name.
 
     A text fails the base rules with fewer than MIN_WORDS words or with more than MAX_REPEAT_PERCENT of them in
-    repeated 3-word windows. All that pass give the estimates of their language and source, and are kept unless their
-    squared distance, scaled so that the group's median is MEDIAN, is above ``cut``. Null language and source are values
-    of their own; groups below LEAST texts reject none. Null text is empty; an empty table gives an empty result.
+    repeated 3-word windows. All that pass give the estimates of their language and source, shrunk by size as shrunk()
+    says, and are kept unless their squared distance, on a scale on which a group's median is MEDIAN, is above ``cut``.
+    Null language and source are values of their own. Only texts of a source of which none passes have no distance.
+    Null text is empty; an empty table gives an empty result.
     """
     d = len(FLOORS)
     plain = with_stats(docs.select(*[F.col(c).alias(f"c__{c}") for c in docs.columns if c not in (text_col, out_col)], F.col(text_col).alias("__text")), "__text", "stats").drop("__text")
@@ -125,20 +161,13 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     plain = plain.withColumn("base_failed", (s("n_words") < MIN_WORDS) | (100 * s("n_repeat_words") > MAX_REPEAT_PERCENT * s("n_words"))).withColumn("x", vector())
     plain = written(plain.withColumnsRenamed({f"c__{lang_col}": "lang", f"c__{source_col}": "source"}), "stats")
     good = plain.where(~F.col("base_failed"))
-    sizes = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size"))
-    large = small(written(sizes.where(F.col("size") >= MIN_GROUP).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")), "groups"), BROADCAST_GROUPS)
-    met = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    # a group is a struct, so that the pool of small sources differs from a null source
-    grouped = good.join(large.withColumn("own", F.lit(1)), met, "left").select(F.col("lang"), F.when(F.col("own") == 1, F.concat(F.lit("="), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).otherwise("*").alias("source"), "x")
-    centres = mcd(grouped)
-    group = centres.select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), "centre", "inverse")
-    at = F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source"))
-    scale = grouped.join(small(group, BROADCAST_GROUPS), at).groupBy("e_lang", "e_source").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx(_distance("x", "centre", "inverse", d), 0.5, 1000).alias("median"))
-    scale = scale.withColumnsRenamed({"e_lang": "m_lang", "e_source": "m_source"})
-    group = small(written(group.join(scale, F.col("e_lang").eqNullSafe(F.col("m_lang")) & F.col("e_source").eqNullSafe(F.col("m_source"))).drop("m_lang", "m_source"), "scale"), BROADCAST_GROUPS)
-    out = plain.join(large.withColumn("own", F.lit(1)), met, "left").withColumn("g", F.when(F.col("own") == 1, F.concat(F.lit("="), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).otherwise("*"))
-    out = out.join(group, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("g").eqNullSafe(F.col("e_source")), "left")
-    distance = F.when(F.col("size") >= LEAST, _distance("x", "centre", "inverse", d) * MEDIAN / F.greatest(F.col("median"), F.lit(MEDIAN / 4)))
+    # each text counts in three groups: its source's ("=" in front), its language's ("*") and that of all texts ("**")
+    own = F.concat(F.lit("="), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    levels = F.array(F.struct("lang", own.alias("source")), F.struct("lang", F.lit("*").alias("source")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit("**").alias("source")))
+    grouped = good.select(F.explode(levels).alias("g"), "x").select("g.*", "x")
+    group = small(written(shrunk(grouped, mcd(grouped)), "shrunk"), BROADCAST_GROUPS)
+    out = plain.withColumn("g", own).join(group, F.col("lang").eqNullSafe(F.col("e_lang")) & (F.col("g") == F.col("e_source")), "left")
+    distance = _distance("x", "centre", "inverse", d)
     kept = ~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))
     rules = F.struct("stats.*", "base_failed", distance.alias("distance"), kept.alias("kept"))
     names = [F.col({lang_col: "lang", source_col: "source"}.get(c, f"c__{c}")).alias(c) for c in docs.columns if c not in (text_col, out_col)]

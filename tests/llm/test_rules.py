@@ -80,3 +80,18 @@ def test_copies_of_one_junk_text_in_two_fifths_of_a_group(spark):
         out = kept(spark, clean + [(1000 + i, junk, "en", "web") for i in range(n)])
         assert not any(out[1000 + i].kept for i in range(n))
         assert sum(out[i].kept for i in range(300)) >= 297
+
+
+def tables(rng, n, lang, source, start):
+    """Texts that are table lines throughout."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    return [(start + i, "\n".join(f"{word()} | {word()} | {word()}" for _ in range(rng.randrange(20, 50))), lang, source) for i in range(n)]
+
+
+def test_a_small_source_is_judged_by_its_own(spark):
+    """150 tables are what their own source holds; five in a source that is as small go by their language and are junk in it."""
+    rng = random.Random(6)
+    rows = sum((prose(rng, 60, "es", f"s{k}", 100 * k) for k in range(5)), []) + tables(rng, 150, "es", "tables", 1000) + tables(rng, 5, "es", "few", 2000)
+    out = kept(spark, rows)
+    assert all(out[1000 + i].kept for i in range(150)) and not any(out[2000 + i].kept for i in range(5))
+    assert all(out[100 * k + i].kept for k in range(5) for i in range(60))
