@@ -95,3 +95,12 @@ def test_a_small_source_is_judged_by_its_own(spark):
     out = kept(spark, rows)
     assert all(out[1000 + i].kept for i in range(150)) and not any(out[2000 + i].kept for i in range(5))
     assert all(out[100 * k + i].kept for k in range(5) for i in range(60))
+
+
+def test_a_rare_language_is_judged_too(spark):
+    """Of 16 texts of a language two are junk, and one of a null language is; none is accepted for want of company."""
+    rng = random.Random(7)
+    rows = prose(rng, 120, "en", "a") + prose(rng, 14, "fr", None, 200) + tables(rng, 2, "fr", None, 300) + tables(rng, 1, None, None, 400) + prose(rng, 3, None, "a", 500)
+    out = kept(spark, rows)
+    assert not out[300].kept and not out[301].kept and not out[400].kept and None not in [r.distance for r in out.values()]
+    assert all(r.kept for i, r in out.items() if not 300 <= i <= 400)
