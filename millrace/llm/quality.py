@@ -20,6 +20,8 @@ PREFIXES = (4, 5, 6, 7)
 MAX_LABELLED = 10_000
 #: A document is kept if it has the top grade with at least this probability.
 KEEP = 0.5
+#: Entries of the labelled documents that a step of the fit handles at once.
+CHUNK = 1 << 20
 
 SCORE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
 
@@ -58,11 +60,12 @@ def features(text: bytes | None) -> set[int]:
     return slots
 
 
-def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, least: int = 6, z: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, prior: float = 2.0, z: float = 3.5, power: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(grade <= k) = logistic(thresholds[k] - sum of weights), by penalised likelihood.
 
-    Only slots with a clear sign of their own get a weight: ``least`` rows or more have them, and these miss the top
-    grade more often than all rows by ``z`` standard errors. Words that merely make texts long stay out.
+    Every slot that misses the top grade more often than all rows takes part, however rare; words that merely make texts
+    long stay out. The penalty does the shrinking: the less a slot's excess is against ``z`` standard errors (of ``prior``
+    rows more than have it), the larger, so that rare slots count where no clearer ones explain a grade.
 
     Ordered thresholds are a first one plus exponentials. Without rows everything gets the top grade.
     """
@@ -75,26 +78,34 @@ def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int
     below = y < n_grades - 1
     rate = np.clip(below.mean(), 1e-3, 1 - 1e-3)
     n, bad = np.bincount(slots, minlength=1 << BITS), np.bincount(slots, below[owner], minlength=1 << BITS)
-    clear = ((n >= least) & (bad - n * rate >= z * np.sqrt(n * rate * (1 - rate))))[slots]
-    owner, (used, slots) = owner[clear], np.unique(slots[clear], return_inverse=True)
+    ease = np.clip((bad - n * rate) / (z * np.sqrt((n + prior) * rate * (1 - rate))), 0, 1) ** power
+    used, part = np.flatnonzero(ease > 0), ease[slots] > 0
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    owner, slots = owner[part], place[slots[part]]
+    # by chunks: the driver never holds more than CHUNK weights or gradients at once
+    chunks = [slice(i, i + CHUNK) for i in range(0, len(slots), CHUNK)]
+    ease = ease[used]
     share = np.clip(np.cumsum(np.bincount(y, minlength=n_grades))[:-1] / len(y), 1e-3, 1 - 1e-3)
     cut = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-2 * np.arange(n_grades - 1))
     par = np.concatenate([np.zeros(len(used)), cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
     m, v = np.zeros_like(par), np.zeros_like(par)
     for t in range(1, steps + 1):
-        w, raw = par[: len(used)], par[len(used) :]
+        own, raw = par[: len(used)], par[len(used) :]
+        w = ease * own
         cuts = np.concatenate([[-np.inf], raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]), [np.inf]])
-        s = np.bincount(owner, w[slots], minlength=len(rows))
+        s = sum((np.bincount(owner[c], w[slots[c]], minlength=len(rows)) for c in chunks), np.zeros(len(rows)))
         with np.errstate(over="ignore"):
             hi, lo = 1 / (1 + np.exp(s - cuts[y + 1])), 1 / (1 + np.exp(s - cuts[y]))
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
         dcut = np.bincount(y, dhi, minlength=n_grades)[:-1] - np.bincount(y, dlo, minlength=n_grades)[1:]
         tails = np.cumsum(dcut[::-1])[::-1]
-        grad = np.concatenate([np.bincount(slots, (dlo - dhi)[owner], minlength=len(used)) - decay * w, tails[:1], tails[1:] * np.exp(raw[1:])]) / len(rows)
+        pull = sum((np.bincount(slots[c], (dlo - dhi)[owner[c]], minlength=len(used)) for c in chunks), np.zeros(len(used)))
+        grad = np.concatenate([pull * ease - decay * own, tails[:1], tails[1:] * np.exp(raw[1:])]) / len(rows)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         par = par + 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights[used] = par[: len(used)]
+    weights[used] = ease * par[: len(used)]
     raw = par[len(used) :]
     return weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
 

@@ -38,3 +38,15 @@ def test_no_labels_keeps_everything(spark):
     out = quality.score(docs, quality.train(docs, labels, quality.graded(labels)))
     assert out.where(F.col("quality.p_top") >= quality.KEEP).count() == 2
     assert quality.score(docs.limit(0), quality.fit([], [])).count() == 0
+
+
+def test_rare_languages_and_grades_are_rejected(spark):
+    """With few labels too, most toxic and most low-quality documents of each language go, and the good ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    out = quality.score(docs, quality.train(docs, labels, quality.graded(labels))).withColumnRenamed("quality", "score").join(labels, "doc_id")
+    kinds = {"toxic": F.col("toxic") == 1, "low": F.col("quality") == 0, "good": (F.col("quality") == 1) & (F.col("toxic") == 0)}
+    shares = [F.avg(F.when(holds, (F.col("score.p_top") >= quality.KEEP).cast("int"))).alias(kind) for kind, holds in kinds.items()]
+    rows = out.groupBy("lang").agg(*shares).collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert r.toxic <= 0.3 and r.low <= 0.3 and r.good >= 0.98, r
