@@ -1,31 +1,117 @@
 """Blocks of documents that ask buckets of keys, and get answers back.
 
-A block is a few megabytes of documents, chosen by hash; a bucket is a share of all keys (windows, n-grams). A block
+A block is a few megabytes of texts, chosen by their hash; a bucket is a share of all keys (windows, n-grams). A block
 sends each bucket what it has of its keys once, however often it occurs in the block, packed and compressed; a bucket
 answers each block for the keys it sent, in the order it sent them; the block, formed again from the same documents,
-applies the answers. So neither a frequent key nor a large group of copies sends more than a block's worth of rows, and
-the occurrences themselves never travel. Orders depend on the set of documents in a block alone, so a block that is
-computed anew after a loss agrees with the answers.
+applies the answers. So a frequent key sends at most one entry a block, and the occurrences themselves never travel.
+Orders depend on the set of documents in a block alone, so a block that is computed anew after a loss agrees with the
+answers. A block or bucket is one partition: tasks are even, and none waits for a neighbour.
+
+Copies that together would fill a good part of a block stand apart: their text goes through the exchange once, with its
+number, and its result is joined to the rows. There is no bound on the number of blocks or on the words of a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .common import written
+
+#: Bytes of text to a block, and how few where a small corpus would leave cores idle.
+BLOCK_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
+#: Bytes that a row costs besides its text, and bytes of copies of one text from which these stand apart.
+ROW_BYTES, APART_BYTES = 64, 1 << 20
+#: Up to so many texts that stand apart are broadcast (their hashes, then their results).
+BROADCAST_TEXTS = 20_000
+#: Blocks beyond so many share partitions, evenly; buckets are at most so many, so that a row holds several keys of a
+#: block on average and the number of rows grows with the input, not with blocks times buckets.
+MAX_PARTITIONS, MAX_BUCKETS = 1 << 14, 1 << 18
+
+
+@dataclass
+class Blocks:
+    """``loose``: rows not yet dealt; ``alone``: rows(text, __block, __times, __train, the others in ``row``); ``apart``: the same of texts that stand
+    for many rows, with null rows and blocks from n on; ``rows``: those rows. Both are None if there are none."""
+
+    n: int
+    loose: DataFrame
+    alone: DataFrame
+    apart: DataFrame | None = None
+    rows: DataFrame | None = None
+    few: bool = True
+
+    @property
+    def buckets(self) -> int:
+        return min(self.n, MAX_BUCKETS)
+
+    def asked(self, send: Callable, sent: T.StructType, answer: Callable, told: T.StructType) -> DataFrame:
+        """What answer() tells of each bucket of send()'s rows of all blocks, a partition to a few blocks."""
+        rows = [x.groupBy("__block").applyInArrow(send, sent) for x in (self.alone, self.apart) if x is not None]
+        rows = rows[0] if len(rows) == 1 else rows[0].union(rows[1])
+        return dealt(rows, "bucket", self.buckets).groupBy("bucket").applyInArrow(answer, told)
+
+    def applied(self, told: DataFrame, apply: Callable, made: T.StructType, columns: list[str]) -> DataFrame:
+        """The rows with what apply() makes of each block and the answers told to it."""
+        back = dealt(told, "block", self.n)
+        out = []
+        for x in (self.alone, self.apart):
+            if x is not None:
+                schema = T.StructType([f for f in x.schema if f.name in ("row", "__h1", "__h2")] + made.fields)
+                out.append(x.groupBy("__block").cogroup(back.groupBy("block")).applyInArrow(apply(to_arrow_schema(schema)), schema))
+        return self.joined(out, columns, made.names)
 
-from .common import parts
+    def joined(self, results: list[DataFrame], columns: list[str], made: list[str]) -> DataFrame:
+        """The rows with the results ``made`` of their texts."""
+        out = results[0].select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *made)
+        if self.apart is None:
+            return out
+        told = results[1].select("__h1", "__h2", *[F.col(c).alias(f"__{c}") for c in made])
+        told = F.broadcast(told) if self.few else told
+        rest = self.rows.withColumnsRenamed({"__h1": "__r1", "__h2": "__r2"}).join(told, (F.col("__r1") == F.col("__h1")) & (F.col("__r2") == F.col("__h2")))
+        return out.union(rest.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *[F.col(f"__{c}").alias(c) for c in made]))
 
-#: Megabytes of the input's files to a block, and of what blocks send to a bucket.
-BLOCK_MB = 2.0
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df with the rows of a key in one partition and keys 0 to n - 1 dealt evenly."""
+    return df.repartitionById(min(n, MAX_PARTITIONS), F.col(key))
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, mb: float = BLOCK_MB) -> tuple[DataFrame, int]:
-    """docs with ``__block``, and the number of blocks."""
-    n = parts(docs, mb)
-    return docs.withColumn("__block", F.pmod(F.xxhash64(id_col, text_col), F.lit(n))), n
+
+def blocked(docs: DataFrame, text_col: str, train_col: str | None = None, block_bytes: int | None = None) -> Blocks:
+    """docs in blocks; null text is empty. ``train_col``: a boolean whose true rows are counted in __train."""
+    size = block_bytes or BLOCK_BYTES
+    train = F.col(train_col).cast("long") if train_col else F.lit(1).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != train_col])
+    source = docs.select(row.alias("row"), text.alias("__text"), F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2"), train.alias("__train"))
+    weight = (F.octet_length("__text") + ROW_BYTES).cast("long")
+    sizes = written(source.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("times"), F.sum(weight).alias("bytes")), "sizes")
+    many = (F.col("times") > 1) & (F.col("bytes") > min(APART_BYTES, size // 2))
+    total, n_many = sizes.agg(F.coalesce(F.sum(F.when(many, F.col("bytes") / F.col("times")).otherwise(F.col("bytes"))), F.lit(0.0)), F.count_if(many)).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n = max(1, round(total / size), min(2 * cores, int(total / min(LEAST_BYTES, size))))
+    block = lambda df, first: dealt(df.withColumn("__block", (F.pmod(F.col("__h1"), F.lit(n)) + first).cast("int")).select(*names), "__block", n)
+    names = ["row", "__text", "__h1", "__h2", "__times", "__train", "__block"]
+    one = F.lit(1).cast("long").alias("__times")
+    if not n_many:
+        return Blocks(n, source, block(source.withColumn("__times", one), 0))
+    few = n_many <= BROADCAST_TEXTS
+    apart = sizes.where(many).select(F.col("__h1").alias("__a1"), F.col("__h2").alias("__a2"))
+    apart = F.broadcast(apart) if few else apart
+    same = (F.col("__h1") == F.col("__a1")) & (F.col("__h2") == F.col("__a2"))
+    alone = block(source.join(apart, same, "left_anti").withColumn("__times", one), 0)
+    rows = source.join(apart, same, "left_semi")
+    texts_ = rows.groupBy("__h1", "__h2").agg(F.min("__text").alias("__text"), F.count(F.lit(1)).alias("__times"), F.sum("__train").alias("__train"))
+    texts_ = block(texts_.withColumn("row", F.lit(None).cast(source.schema["row"].dataType)), n)
+    return Blocks(n, source, alone, texts_, rows.select("row", "__h1", "__h2"), few)
 
 
 def pack(data: bytes) -> bytes:
@@ -36,9 +122,25 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def texts(table: pa.Table, name: str) -> list[bytes]:
-    """The column's texts; null is empty."""
-    return [t or b"" for t in table.column(name).cast(pa.binary()).to_pylist()]
+def pack_numbers(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes: small numbers and small differences become short."""
+    return pack(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_numbers(data: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack_numbers(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data, np.uint64), dtype=np.uint64)
+
+
+def texts(table: pa.Table, name: str = "__text") -> list[bytes]:
+    return table.column(name).cast(pa.binary()).to_pylist()
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:

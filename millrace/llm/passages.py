@@ -12,53 +12,68 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
-from .exchange import blocked, pack, runs, texts, unpack
+from .exchange import Blocks, blocked, pack, runs, texts, unpack
 from .shingles import PLACES, U, mix
 
 WINDOW = 35
 #: Words of the runs from which a window's minimiser is chosen.
 MINIMISER = 5
-PLACE_BITS = 24
+#: Windows whose minimisers are found at once, and the bits that hold a place among them.
+CHUNK, PLACE_BITS = 1 << 20, 22
+#: Runs that send more than HOT_BYTES to their bucket, judged by one block in SAMPLE (64 blocks at most), are a
+#: minimiser only of windows that have no other run. This deals the work; results do not depend on it.
+SAMPLE, MOST_SAMPLED, HOT_BYTES, SURE = 16, 64, 1 << 20, 32
 
 
-def super_kmers(documents: list[list[bytes]], window: int, n_buckets: int):
+def hashed_runs(words: list[bytes], m: int) -> np.ndarray:
+    """64-bit hashes of the runs of m words."""
+    n = len(words)
+    h = mix(np.fromiter(map(crc32, words), U, n))
+    out = h[: n - m + 1] * PLACES[0]
+    for j in range(1, m):
+        out = out + h[j : n - m + 1 + j] * PLACES[j]
+    return mix(out)
+
+
+def super_kmers(documents: list[list[bytes]], window: int, n_buckets: int, hot: np.ndarray | None = None):
     """(all words, first windows, last windows, buckets) of the maximal runs of windows with the same minimiser.
 
-    A window's minimiser is the leftmost of its word runs with the smallest hash: equal windows have equal ones.
+    A window's minimiser is the leftmost of its word runs with the smallest hash, those of ``hot`` (sorted) behind all
+    others: equal windows have equal ones.
     """
     words = [w for d in documents for w in d]
     n, m = len(words), min(MINIMISER, window)
     none = np.zeros(0, np.int64)
     if n < window:
         return words, none, none, none
-    if n >= 1 << PLACE_BITS:
-        raise ValueError("a block has too many words")
-    h = mix(np.fromiter(map(crc32, words), U, n))
-    runs_ = h[: n - m + 1] * PLACES[0]
-    for j in range(1, m):
-        runs_ = runs_ + h[j : n - m + 1 + j] * PLACES[j]
-    low = U((1 << PLACE_BITS) - 1)
-    key = (mix(runs_) & ~low) | np.arange(n - m + 1, dtype=U)
-    width, reach = window - m + 1, 1
-    best = key
-    while 2 * reach <= width:
-        best = np.minimum(best[: len(best) - reach], best[reach:])
-        reach *= 2
-    if reach < width:
-        best = np.minimum(best[: len(best) - (width - reach)], best[width - reach :])
+    key = hashed_runs(words, m)
+    order = key >> U(1)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        order |= (hot[at] == key).astype(U) << U(63)
+    width, low, chosen = window - m + 1, U((1 << PLACE_BITS) - 1), []
+    for a in range(0, n - window + 1, CHUNK):
+        best = order[a : a + CHUNK + width - 1]
+        best, reach = (best & ~low) | np.arange(len(best), dtype=U), 1
+        while 2 * reach <= width:
+            best = np.minimum(best[: len(best) - reach], best[reach:])
+            reach *= 2
+        if reach < width:
+            best = np.minimum(best[: len(best) - (width - reach)], best[width - reach :])
+        chosen.append((best & low).astype(np.int64) + a)
     owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     inside = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     if not len(inside):
         return words, none, none, none
-    chosen = best[inside]
-    new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (owner[inside[1:]] != owner[inside[:-1]])]))
+    place = np.concatenate(chosen)[inside]
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[inside[1:]] != owner[inside[:-1]])]))
     first, last = inside[new], inside[np.concatenate([new[1:], [len(inside)]]) - 1]
-    return words, first, last, (mix(chosen[new] & ~low) % U(n_buckets)).astype(np.int64)
+    return words, first, last, (mix(key[place[new]]) % U(n_buckets)).astype(np.int64)
 
 
-def _by_bucket(documents, window: int, n_buckets: int):
+def _by_bucket(documents, window: int, n_buckets: int, hot: np.ndarray):
     """(bucket, distinct packed strings in order, index of each among them, which super-k-mers) for each bucket, and all of them."""
-    words, first, last, bucket = super_kmers(documents, window, n_buckets)
+    words, first, last, bucket = super_kmers(documents, window, n_buckets, hot)
     order = np.argsort(bucket, kind="stable")
     cuts = runs(bucket[order])
     groups = []
@@ -71,15 +86,38 @@ def _by_bucket(documents, window: int, n_buckets: int):
     return words, first, last, groups
 
 
-SENT = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.LongType()), T.StructField("strings", T.BinaryType()), T.StructField("twice", T.BinaryType())])
-TOLD = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("windows", T.BinaryType())])
+SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("strings", T.BinaryType()), T.StructField("twice", T.BinaryType())])
+TOLD = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("windows", T.BinaryType())])
+
+
+def _hot_runs(window: int, least: int):
+    """The runs that stand in a sampled block ``least`` times or more, with their number."""
 
+    def apply(batches):
+        for batch in batches:
+            words = [t.split() for t in texts(pa.Table.from_batches([batch]))]
+            keys = [hashed_runs(w, min(MINIMISER, window)) for w in words if len(w) >= window]
+            run, times = np.unique(np.concatenate([*keys, np.zeros(0, U)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(run[times >= least].view(np.int64)), pa.array(times[times >= least])], ["run", "times"])
 
-def _send(text_col: str, window: int, n_buckets: int):
+    return apply
+
+
+def hot_runs(cut: Blocks, window: int) -> np.ndarray:
+    """The hashes of runs so frequent that their windows would crowd a bucket: at most one in SURE words of the sample."""
+    sampled = min(MOST_SAMPLED, -(-cut.n // SAMPLE))
+    least = max(SURE, HOT_BYTES * sampled // (cut.n * 8 * window))
+    seen = cut.loose.where(F.pmod("__h1", F.lit(cut.n)) < sampled).select("__text").mapInArrow(_hot_runs(window, 2), "run long, times long")
+    found = seen.groupBy("run").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("run").toPandas()
+    return np.sort(found["run"].to_numpy(np.int64).view(U))
+
+
+def _send(window: int, n_buckets: int, hot):
     def apply(block: pa.Table) -> pa.Table:
-        _, _, _, groups = _by_bucket([t.split() for t in texts(block, text_col)], window, n_buckets)
-        number = block.column("__block")[0].as_py()
-        rows = [(b, number, pack(b"\n".join(distinct)), np.packbits(np.bincount(index, minlength=len(distinct)) > 1).tobytes()) for b, distinct, index, _ in groups]
+        _, _, _, groups = _by_bucket([t.split() for t in texts(block)], window, n_buckets, hot.value)
+        number, times = block.column("__block")[0].as_py(), block.column("__times").to_numpy()
+        several = times.max() > 1  # texts that stand for many rows: each window is there twice
+        rows = [(b, number, pack(b"\n".join(distinct)), np.packbits(several | (np.bincount(index, minlength=len(distinct)) > 1)).tobytes()) for b, distinct, index, _ in groups]
         return pa.Table.from_pylist([dict(zip(SENT.names, r)) for r in rows], to_arrow_schema(SENT))  # noqa: B905
 
     return apply
@@ -153,12 +191,15 @@ def _count(window: int):
     return apply
 
 
-def _remove(text_col: str, window: int, n_buckets: int, schema: pa.Schema):
+MADE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+
+
+def _remove(window: int, n_buckets: int, hot, schema: pa.Schema):
     def apply(block: pa.Table, told: pa.Table) -> pa.Table:
-        documents = [t.split() for t in texts(block, text_col)]
+        documents = [t.split() for t in texts(block)]
         if not documents:
             return schema.empty_table()
-        words, first, last, groups = _by_bucket(documents, window, n_buckets)
+        words, first, last, groups = _by_bucket(documents, window, n_buckets, hot.value)
         answers = {r["bucket"]: r["windows"] for r in told.select(["bucket", "windows"]).to_pylist()}
         edge = np.zeros(len(words) + 1, np.int64)
         for bucket, distinct, index, own in groups:
@@ -180,7 +221,7 @@ def _remove(text_col: str, window: int, n_buckets: int, schema: pa.Schema):
             n_words.append(len(d))
             n_removed.append(k)
             kept.append(b" ".join([w for w, g in zip(d, mask.tolist()) if not g] if k else d))  # noqa: B905
-        out = block.drop_columns(["__block"])
+        out = block.select(["row", "__h1", "__h2"])
         for name, values in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))):
             out = out.append_column(name, values)
         return out.cast(schema)
@@ -188,19 +229,19 @@ def _remove(text_col: str, window: int, n_buckets: int, schema: pa.Schema):
     return apply
 
 
-def drop_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_passages(docs: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept_text`` (columns of these names are replaced).
 
     A word goes if a window of ``window`` words of its document covers it whose sequence starts anywhere else too, in the
     same document or another; windows are judged on the input. Kept words are joined by one space. Null text has no
-    words; rows that repeat each other are documents of their own; an empty table gives an empty result.
+    words; rows that repeat each other are documents of their own; an empty table gives an empty result. A text may have
+    any number of words: it is held by one task, about 100 bytes a word.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    cut, n = blocked(docs, id_col, text_col)
-    sent = cut.groupBy("__block").applyInArrow(_send(text_col, window, n), SENT)
-    told = sent.groupBy("bucket").applyInArrow(_count(window), TOLD)
-    schema = T.StructType(docs.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return cut.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(_remove(text_col, window, n, to_arrow_schema(schema)), schema)
+    cut = blocked(docs, text_col, block_bytes=block_bytes)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(cut, window))
+    told = cut.asked(_send(window, cut.buckets, hot), SENT, _count(window), TOLD)
+    return cut.applied(told, lambda schema: _remove(window, cut.buckets, hot, schema), MADE, docs.columns)
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from millrace.llm import passages
 from millrace.llm.passages import drop_passages, op2_passages, repeated
 
 
@@ -20,9 +21,9 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
-def got(spark, rows, window):
+def got(spark, rows, window, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in drop_passages(df, window).collect()), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in drop_passages(df, window, **more).collect()), key=str)
 
 
 def test_against_brute_force(spark):
@@ -56,3 +57,43 @@ def test_equal_hashes_are_compared_by_words(monkeypatch):
     monkeypatch.setattr(passages, "mix", lambda x: x * passages.U(0))
     ids = np.array([1, 2, 3, 1, 2, 4], np.int32)
     assert repeated(ids, np.array([0, 1, 2, 3, 4]), np.array([1, 1, 1, 1, 1]), 2).tolist() == [True, False, False, True, False]
+
+
+def test_many_blocks_and_copies(spark):
+    """Texts that stand for many rows, in blocks of their own, meet the others' windows."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    one = " ".join(rng.choice(words) for _ in range(90))
+    rows = [(i, one) for i in range(60)] + [(100, one[30:] + " x " + one[:-40])] + [(200, "short")] * 80 + [(300 + i, None) for i in range(60)]
+    rows += [(400 + i, " ".join(rng.choice(words) for _ in range(rng.randrange(70)))) for i in range(60)]
+    for window in (35, 5):
+        assert got(spark, rows, window, block_bytes=3000) == brute(rows, window)
+
+
+def windows(documents, window, hot=None):
+    """(bucket, first window) of each window, and the packed runs' ends are the same ones."""
+    words, first, last, bucket = passages.super_kmers(documents, window, 1 << 20, hot)
+    return {at: int(b) for f, e, b in zip(first, last, bucket) for at in range(f, e + 1)}
+
+
+def test_chunks_and_hot_runs_only_deal_differently(monkeypatch):
+    rng = random.Random(2)
+    documents = [[rng.choice("abcd").encode() for _ in range(rng.randrange(200))] for _ in range(20)]
+    whole = windows(documents, 12)
+    monkeypatch.setattr(passages, "CHUNK", 50)
+    assert windows(documents, 12) == whole
+    flat = [w for d in documents for w in d]
+    keys, times = np.unique(passages.hashed_runs(flat, passages.MINIMISER), return_counts=True)
+    hot = keys[times >= 3]
+    dealt = windows(documents, 12, hot)
+    assert set(dealt) == set(whole) and dealt != whole
+    seen = {}
+    for at, bucket in dealt.items():  # equal windows still meet
+        assert seen.setdefault(tuple(flat[at : at + 12]), bucket) == bucket
+
+
+def test_a_text_of_more_than_2_to_the_24_words():
+    n = (1 << 24) + 1000
+    text = [b"%d" % (i % 977) for i in range(9770)] * (n // 9770 + 1)
+    words, first, last, _ = passages.super_kmers([text[:n]], 35, 64)
+    assert len(words) == n and first[0] == 0 and last[-1] == n - 35 and (first[1:] == last[:-1] + 1).all()
