@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
 from .common import table, written
-from .exchange import blocked, pack_numbers, pack_sorted, texts, unpack_numbers, unpack_sorted
+from .exchange import Documents, blocked, pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 from .shingles import PLACES, U, mix
 
 #: How many tokens a context's lower order counts as, for contexts of one and of two words (chosen on held-out texts).
@@ -58,12 +58,14 @@ class Block:
         third = np.flatnonzero(~first)
         one, two = gram(token), gram(before, token)
         three = gram(before[third - 1], before[third], token[third])
-        self.keys, place = np.unique(np.concatenate([one, two, three, gram(np.array([BEGIN]))]), return_inverse=True)
-        n = len(token)
+        n, grams = len(token), np.concatenate([one, two, three, gram(np.array([BEGIN]))])
+        del words, token, before, one, two, three  # a block's arrays are what a task's memory goes to
+        self.keys, place = np.unique(grams, return_inverse=True)
+        place = place.astype(np.int32)
         self.uni, self.bi, self.begin = place[:n], place[n : 2 * n], place[-1]
-        self.tri = np.full(n, -1, np.int64)
+        self.tri = np.full(n, -1, np.int32)
         self.tri[third] = place[2 * n : -1]
-        self.context = np.concatenate([[0], self.uni[:-1]])
+        self.context = np.concatenate([np.zeros(1, np.int32), self.uni[:-1]])
         self.context[self.starts] = self.begin
         weight = np.repeat(np.asarray(times, np.int64), sizes)
         counted = [self.uni, self.bi, self.tri[third], [self.begin]]
@@ -76,10 +78,11 @@ class Block:
 
 def _send(n: int):
     def apply(rows: pa.Table) -> pa.Table:
-        b, number = Block([t.lower().split() for t in texts(rows)], rows.column("__train").to_numpy()), rows.column("__block")[0].as_py()
+        documents = Documents(rows)
+        b = Block([t.lower().split() for t in documents.texts], documents.column("__train").to_numpy())
         cuts = b.cuts(n)
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
-        out = [{"bucket": k, "block": number, "keys": pack_sorted(b.keys[cuts[k] : cuts[k + 1]]), "counts": pack_numbers(b.counts[cuts[k] : cuts[k + 1]])} for k in full.tolist()]
+        out = [{"bucket": k, "block": documents.number, "keys": pack_sorted(b.keys[cuts[k] : cuts[k + 1]]), "counts": pack_numbers(b.counts[cuts[k] : cuts[k + 1]])} for k in full.tolist()]
         return pa.Table.from_pylist(out, to_arrow_schema(SENT))
 
     return apply
@@ -121,7 +124,7 @@ def build(b: Block, counts: np.ndarray, n: int, v: int) -> Automaton:
     (count of the context + PRIOR), and the weights out of each state sum to 1. The root's are the base's.
     """
     root = (counts[b.uni] + 0.5) / (n + 0.5 * (v + 1))
-    one, two = counts[b.context], np.where(b.tri >= 0, counts[np.concatenate([[0], b.bi[:-1]])], 0)
+    one, two = counts[b.context], np.where(b.tri >= 0, counts[np.concatenate([np.zeros(1, np.int32), b.bi[:-1]])], 0)
     seen2, seen3 = counts[b.bi], np.where(b.tri >= 0, counts[b.tri], 0)
     second = (seen2 + PRIOR[1] * root) / (one + PRIOR[1])
     third = (seen3 + PRIOR[2] * second) / (two + PRIOR[2])
@@ -163,26 +166,21 @@ def traverse(a: Automaton, starts: np.ndarray, begun: bool, stretch: int = STRET
 SCORES = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def _score(n_buckets: int, n: int, v: int, schema: pa.Schema):
-    def apply(rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not len(rows):
-            return schema.empty_table()
-        b = Block([t.lower().split() for t in texts(rows)], rows.column("__train").to_numpy())
+def _score(n_buckets: int, n: int, v: int):
+    def make(documents: Documents, told: pa.Table) -> tuple[np.ndarray, ...]:
+        b = Block([t.lower().split() for t in documents.texts], documents.column("__train").to_numpy())
         counts, cuts = np.zeros(len(b.keys), np.int64), b.cuts(n_buckets)
         for r in told.to_pylist():
             counts[cuts[r["bucket"]] : cuts[r["bucket"] + 1]] = unpack_numbers(r["counts"])
         automaton = build(b, counts, n, v)
         known, base = (np.add.reduceat(x, b.starts) for x in ((counts[b.uni] > 0).astype(np.int64), automaton.arcs[0]))
         sizes = np.diff(np.append(b.starts, len(b.uni)))
-        out = rows.select(["row", "__h1", "__h2"])
-        for f, x in zip(SCORES, (sizes, known, np.full(len(sizes), n), base, traverse(automaton, b.starts, counts[b.begin] > 0)), strict=True):
-            out = out.append_column(f.name, pa.array(x))
-        return out.cast(schema)
+        return sizes, known, np.full(len(sizes), n), base, traverse(automaton, b.starts, counts[b.begin] > 0)
 
-    return apply
+    return make
 
 
-def score(docs: DataFrame, train: Callable[[], Column] | Column, text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train: Callable[[], Column] | Column, text_col: str = "text", with_text: bool = True, block_bytes: int | None = None) -> DataFrame:
     """docs with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (columns of these names are replaced).
 
     The model is counted over all documents for which ``train`` holds (null: not). Tokens are the words, lower-cased in
@@ -190,17 +188,17 @@ def score(docs: DataFrame, train: Callable[[], Column] | Column, text_col: str =
     n-grams up to three tokens, see build() and traverse(). Blocks send their n-grams, by 64-bit keys, to the keys'
     buckets, which count them over all blocks and answer with the counts; a block's automaton has the states and arcs
     its own texts need, so no model is ever broadcast and no n-gram is dropped. Null text is empty: one token, the end.
-    Repeated rows count each. An empty table gives an empty result.
+    Repeated rows count each. An empty table gives an empty result. ``with_text``: the text, too.
     """
     docs = docs.drop(*SCORES.names)
     cut = blocked(docs.withColumn("__is_train", F.coalesce(train, F.lit(False))), text_col, "__is_train", block_bytes)
     told = written(cut.asked(_send(cut.buckets), SENT, _answer, TOLD), "counts")
     n, v = told.where("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return cut.applied(told.where("block >= 0").drop("n", "v"), lambda schema: _score(cut.buckets, n, v, schema), SCORES, docs.columns)
+    return cut.applied(told.where("block >= 0").drop("n", "v"), _score(cut.buckets, n, v), SCORES, with_text)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    out = score(docs.withColumn("held_out", held), ~F.col("held_out"))
+    out = score(docs.withColumn("held_out", held), ~F.col("held_out"), with_text=False)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

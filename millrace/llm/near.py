@@ -24,7 +24,10 @@ FINE_SAMPLES, FINE_BITS = 1024, 2048
 SLACK = 5.0
 BROADCAST_IDS = 1_000_000
 
-SIGN = T.StructType([T.StructField("n", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+#: Lengths within this factor of each other share a class of the prefix join.
+CLASS = 1.04
+
+SIGN = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def bands_for(threshold: float) -> int:
@@ -73,11 +76,11 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def sign(texts: list[bytes | None], n_bands: int) -> pa.StructArray:
-    """SIGN of each text: size and 128-bit hash of its shingle set, hashes of its bands, odd sketch."""
+    """SIGN of each text: size and 16-byte hash of its shingle set, hashes of its bands, odd sketch."""
     samples, salt = n_bands * ROWS, _salt(n_bands * ROWS)
     factor = mix(np.arange(1, ROWS + 1, dtype=U)) | U(1)
     n = np.zeros(len(texts), np.int64)
-    hi, lo = np.zeros((2, len(texts)), np.int64)
+    key = np.zeros((len(texts), 2), U)
     bands, sketch = np.zeros((len(texts), n_bands), np.int64), np.zeros((len(texts), BITS // 64), np.int64)
     for first, x, sizes in blocks(texts):
         at = first + np.flatnonzero(sizes)
@@ -86,11 +89,11 @@ def sign(texts: list[bytes | None], n_bands: int) -> pa.StructArray:
         if not len(at):
             continue
         least = samples_of(x, sizes, samples)
-        hi[at], lo[at] = (np.add.reduceat(v, starts).view(np.int64) for v in (x, mix(x ^ U(0x5851F42D4C957F2D))))
+        key[at] = np.stack([np.add.reduceat(v, starts) for v in (x, mix(x ^ U(0x5851F42D4C957F2D)))], 1)
         sums = mix((least.reshape(n_bands, ROWS, len(at)) * factor[:, None]).sum(1) + salt[:n_bands, None])
         bands[at] = np.ascontiguousarray(sums.T).view(np.int64)
         sketch[at] = odd_sketches(least, salt, BITS)
-    return pa.StructArray.from_arrays([pa.array(n), pa.array(hi), pa.array(lo), _lists(bands), _lists(sketch)], SIGN.names)
+    return pa.StructArray.from_arrays([pa.array(n), pa.array([k.tobytes() for k in key], pa.binary()), _lists(bands), _lists(sketch)], SIGN.names)
 
 
 def fine(texts: list[bytes | None]) -> pa.ListArray:
@@ -125,67 +128,128 @@ def _alike(a: str, b: str, percent: int, samples: int, bits: int) -> Column:
     return (100 * small_ >= percent * large) & (differ <= limit_for(percent / 100, samples, bits))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for each row of docs: components of the links of percent/100 or more.
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
 
-    Texts with equal shingle sets are one class, of their smallest id. Classes that share a band meet in two rounds.
-    First each is compared with the smallest of its band only: groups of near copies become stars. Then, in bands whose
-    members are not all connected yet, those outside the smallest one's component are compared with all members of
-    other components, by finer sketches. Every pair that shares a band is thus compared or already connected, and no dense group's pairs
-    are ever listed. Estimates rule pairs out; what they let pass is confirmed on the full sets.
 
-    Null and empty texts have no shingles and link with nothing. Rows with a null id are kept, with a null component.
-    Rows that repeat an id are one document (its first text in byte order confirms links). Other columns are ignored.
+def prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b), each pair once: classes of tokens(key, c, n, token) of different components c that may be linked.
+
+    Two sets linked at the threshold have a number of shingles in common that their sizes tell, so among as many of the
+    rarest of each as may be missing, and one more, there is a common one. Classes meet by those, in an order by how
+    many classes have a shingle, apart for each pair of length classes, for then the bound is as tight as for known
+    sizes: what many texts have in common (a template) is met last, and does not bring them together unless it makes them alike.
     """
+    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("df > 1")
+    known = known.select(F.col("token").alias("t"), "df", (F.col("x") != F.col("y")).alias("mixed"))
+    lists = tokens.join(known, F.col("token") == F.col("t")).groupBy("key").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token", "mixed"))).alias("known"))
+    low, high = F.floor(F.col("n") * percent / 100), F.ceil(F.col("n") * 100 / percent)
+    own = _length_class(F.col("n"))
+    lists = lists.withColumn("own", own).withColumn("theirs", F.explode(F.sequence(_length_class(F.greatest(low, F.lit(1))), _length_class(high))))
+    # so many shingles in common at least with any text of that class; those no other text has come first
+    shared = F.ceil((F.col("n") + F.floor(F.pow(F.lit(CLASS), F.col("theirs")))) * percent / (100 + percent))
+    first = F.greatest(F.col("n") - shared + 1 - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
+    # side: 0 among texts of one length class; else -1 or 1, for texts of the shorter and the longer one
+    keyed = lists.select("key", "c", F.least("own", "theirs").alias("lo"), F.greatest("own", "theirs").alias("hi"), F.signum(F.col("own") - F.col("theirs")).cast("int").alias("side"), F.explode(F.slice("known", F.lit(1), first)).alias("k")).where("k.mixed")
+    keyed = keyed.select("key", "c", "side", F.xxhash64("k.token", "lo", "hi").alias("at")).distinct()
+    met = keyed.groupBy("at").agg(F.min("c").alias("hub"), F.max("c").alias("y"), F.min("side").alias("s"), F.max("side").alias("t")).where("hub <> y AND (s = 0 OR s <> t)").select("at", "hub")
+    keyed = written(keyed.join(met, "at"), "prefixes")
+    q, m = keyed.where("c <> hub").alias("q"), keyed.alias("m")
+    pairs = q.join(m, (F.col("q.at") == F.col("m.at")) & (F.col("q.side") == -F.col("m.side")) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hub")) | (F.col("q.key") < F.col("m.key"))))
+    return pairs.select(F.least("q.key", "m.key").alias("a"), F.greatest("q.key", "m.key").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, n, key, least id and least key of its component, with that id) of each row of docs; th: hash of the text."""
     n_bands = bands_for(percent / 100)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signer = F.arrow_udf(lambda text: sign(text.cast(pa.binary()).to_pylist(), n_bands), SIGN)
-    signed = written(source.select("id", signer("text").alias("s")).select("id", "s.*"), "signed")
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = written(source.select("id", "th", signer("text").alias("s")).select("id", "th", "s.*"), "signed")
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    members = written(banded.join(shared, "key").select("key", "band", "rep", "hub"), "members")
-    info = classes.select("rep", "n", "sketch", "bands").dropDuplicates(["rep"])
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = written(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    banded = classes.select("key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top").select("band", "hub")
+    members = written(banded.join(shared, "band").select("band", "key", "hub"), "members")
+    info = classes.select("key", "n", "sketch")
+    wanted = classes.join(members.select(F.col("key").alias("k")).distinct(), F.col("key") == F.col("k"), "left_semi").select("key", F.col("pick.id").alias("w_id"), F.col("pick.th").alias("w_th"))
+    texts = source.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("th") == F.col("w_th"))).groupBy("key").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         return written(pairs.join(a, "a").join(b, "b").where(_linked(percent)("ta", "tb")).select("a", "b"), "links")
 
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("ia")), "a").join(info.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("ib")), "b")
-    links = confirmed(pairs.where(_alike("ia", "ib", percent, n_bands * ROWS, BITS)).select("a", "b"))
-
-    label = components(links)
-    known = members.join(label.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    known = known.join(label.withColumnsRenamed({"node": "hub", "component": "hc"}), "hub", "left").withColumn("hc", F.coalesce("hc", "hub"))
-    open_ = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    known = written(known.join(open_, "key"), "unconnected")
+    def possible(pairs: DataFrame, sketched: DataFrame, samples: int, bits: int) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(sketched.select(F.col("key").alias(x), F.struct("n", "sketch").alias(f"i{x}")), x)
+        return pairs.where(_alike("ia", "ib", percent, samples, bits)).select("a", "b")
+
+    pairs = members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    links = confirmed(possible(pairs, info, n_bands * ROWS, BITS))
+
+    label = written(components(links), "labels")
+    known = members.join(label.withColumnsRenamed({"node": "key", "component": "c"}), "key", "left").select("band", "key", F.coalesce("c", "key").alias("c"))
+    open_ = known.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
+    known = known.join(open_, "band").select(F.col("key").alias("k"), "c").distinct()
+    shingles = F.arrow_udf(lambda text: pa.array([hashed(t).view(np.int64) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
+    tokens = texts.join(known, F.col("key") == F.col("k")).select("key", "c", shingles("text").alias("tokens"))
+    tokens = written(tokens.select("key", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
+    pairs = written(prefix_pairs(tokens, percent), "pairs")
     finer = F.arrow_udf(lambda text: fine(text.cast(pa.binary()).to_pylist()), T.ArrayType(T.LongType()))
-    sharp = texts.join(known.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("rep"), finer("text").alias("sketch"))
-    sharp = sharp.join(info.select("rep", "n", "bands"), "rep")
-    known = written(known.join(sharp, "rep").select("key", "band", F.struct("rep", "c", "hc", "n", "sketch", "bands").alias("q")), "open")
-    others, asked = known.withColumnRenamed("q", "m"), known.where("q.c <> q.hc")
-    # a pair that shares several bands meets in the first of them only
-    before = sum((((F.lit(i) < asked["band"]) & (F.col("q.bands")[i] == F.col("m.bands")[i])).cast("int") for i in range(n_bands)), F.lit(0)) == 0
-    met = asked.join(others, (asked["key"] == others["key"]) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hc")) | (F.col("q.rep") < F.col("m.rep"))) & _alike("q", "m", percent, FINE_SAMPLES, FINE_BITS) & before)
-    more = confirmed(met.select(F.least("q.rep", "m.rep").alias("a"), F.greatest("q.rep", "m.rep").alias("b")).distinct())
-    for t in (members, known, texts):
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    sharp = texts.join(ends, F.col("key") == F.col("k"), "left_semi").select("key", finer("text").alias("sketch"))
+    sharp = written(sharp.join(classes.select("key", "n"), "key"), "sharp")
+    more = confirmed(possible(pairs, sharp, FINE_SAMPLES, FINE_BITS))
+
+    label = components(links.union(more)).withColumnsRenamed({"node": "k", "component": "c"})
+    named = written(classes.select("key", F.col("pick.id").alias("id")).join(label, F.col("key") == F.col("k"), "left").select("key", "id", F.coalesce("c", "key").alias("c")), "named")
+    least = named.groupBy("c").agg(F.min(F.struct("id", "key")).alias("least"))
+    named = named.join(least.withColumnRenamed("c", "__c"), F.col("c") == F.col("__c")).select(F.col("key").alias("k"), "least")
+    out = signed.select("id", "th", "n", "key").join(named, F.col("key") == F.col("k"), "left")
+    done = written(out.select("id", "th", "n", "key", F.when(F.col("id").isNotNull(), F.col("least")).alias("least")), "groups")
+    for t in (signed, classes, members, texts, links, tokens, pairs, sharp, more):
         forget(t)
+    return done
 
-    label = components(links.union(more)).withColumnsRenamed({"node": "rep", "component": "c"})
-    named = classes.select("hi", "lo", "n", "rep").join(label, "rep", "left").select("hi", "lo", "n", F.coalesce("c", "rep").alias("c"))
-    out = signed.select("id", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for each row of docs: components of the links of percent/100 or more.
+
+    Texts with equal shingle sets are one class. Classes that share a band meet in two rounds. First each is compared
+    with the smallest of its band only: groups of near copies become stars. Then, in bands whose members are not all
+    connected yet, those of different components are compared where the prefix join lets them meet, see prefix_pairs():
+    every pair that shares a band is thus compared, ruled out or already connected, and neither a dense group's pairs
+    nor those of texts that share a template are ever listed. Odd sketches rule pairs out; what they let pass is
+    confirmed on the full sets.
+
+    Null and empty texts have no shingles and link with nothing. Rows with a null id are kept, with a null component.
+    Rows that repeat an id are judged each by its own text. Other columns are ignored.
+    """
+    out = _grouped(docs, percent, id_col, text_col)
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the document of smallest id of each component; docs' columns and null ids stay."""
-    gone = written(near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(small(gone, BROADCAST_IDS), F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs without all but one row of each component, that of the smallest id (then shingle set, then hash of the text).
+
+    Rows without shingles or without an id stay, all of them. docs' columns stay.
+    """
+    out = _grouped(docs, percent, id_col, text_col).where("least IS NOT NULL")
+    first = (F.col("id") == F.col("least.id")) & (F.col("key") == F.col("least.key"))
+    # of rows that agree in id and shingle set the least text stays; of equal rows, one
+    chosen = out.where(first).groupBy("id", "key").agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("rows"))
+    chosen = written(chosen.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "rows"), "chosen")
+    gone = out.select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct().join(chosen, ["__id", "__th"], "left_anti")
+    gone = small(written(gone, "gone"), BROADCAST_IDS)
+    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
+    kept = docs.join(gone, same, "left_anti")
+    several = chosen.where("rows > 1").drop("rows")
+    if several.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")
+    once = kept.join(several, same).groupBy("__id", "__th").agg(F.first(row).alias("r")).select("r.*")
+    return kept.join(several, same, "left_anti").unionByName(once)
 
 
 def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:

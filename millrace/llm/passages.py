@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
-from .exchange import Blocks, blocked, pack, runs, texts, unpack
+from .exchange import Blocks, Documents, blocked, pack, runs, unpack
 from .shingles import PLACES, U, mix
 
 WINDOW = 35
@@ -95,7 +95,7 @@ def _hot_runs(window: int, least: int):
 
     def apply(batches):
         for batch in batches:
-            words = [t.split() for t in texts(pa.Table.from_batches([batch]))]
+            words = [(t or b"").split() for t in batch.column(0).cast(pa.binary()).to_pylist()]
             keys = [hashed_runs(w, min(MINIMISER, window)) for w in words if len(w) >= window]
             run, times = np.unique(np.concatenate([*keys, np.zeros(0, U)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(run[times >= least].view(np.int64)), pa.array(times[times >= least])], ["run", "times"])
@@ -114,10 +114,10 @@ def hot_runs(cut: Blocks, window: int) -> np.ndarray:
 
 def _send(window: int, n_buckets: int, hot):
     def apply(block: pa.Table) -> pa.Table:
-        _, _, _, groups = _by_bucket([t.split() for t in texts(block)], window, n_buckets, hot.value)
-        number, times = block.column("__block")[0].as_py(), block.column("__times").to_numpy()
-        several = times.max() > 1  # texts that stand for many rows: each window is there twice
-        rows = [(b, number, pack(b"\n".join(distinct)), np.packbits(several | (np.bincount(index, minlength=len(distinct)) > 1)).tobytes()) for b, distinct, index, _ in groups]
+        documents = Documents(block)
+        _, _, _, groups = _by_bucket([t.split() for t in documents.texts], window, n_buckets, hot.value)
+        several = documents.column("__times").to_numpy().max() > 1  # texts that stand for many rows: each window is there twice
+        rows = [(b, documents.number, pack(b"\n".join(distinct)), np.packbits(several | (np.bincount(index, minlength=len(distinct)) > 1)).tobytes()) for b, distinct, index, _ in groups]
         return pa.Table.from_pylist([dict(zip(SENT.names, r)) for r in rows], to_arrow_schema(SENT))  # noqa: B905
 
     return apply
@@ -194,11 +194,9 @@ def _count(window: int):
 MADE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
 
-def _remove(window: int, n_buckets: int, hot, schema: pa.Schema):
-    def apply(block: pa.Table, told: pa.Table) -> pa.Table:
-        documents = [t.split() for t in texts(block)]
-        if not documents:
-            return schema.empty_table()
+def _remove(window: int, n_buckets: int, hot):
+    def make(block: Documents, told: pa.Table) -> tuple[list, list, list]:
+        documents = [t.split() for t in block.texts]
         words, first, last, groups = _by_bucket(documents, window, n_buckets, hot.value)
         answers = {r["bucket"]: r["windows"] for r in told.select(["bucket", "windows"]).to_pylist()}
         edge = np.zeros(len(words) + 1, np.int64)
@@ -220,32 +218,29 @@ def _remove(window: int, n_buckets: int, hot, schema: pa.Schema):
             k = int(mask.sum())
             n_words.append(len(d))
             n_removed.append(k)
-            kept.append(b" ".join([w for w, g in zip(d, mask.tolist()) if not g] if k else d))  # noqa: B905
-        out = block.select(["row", "__h1", "__h2"])
-        for name, values in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))):
-            out = out.append_column(name, values)
-        return out.cast(schema)
+            kept.append(b" ".join([w for w, g in zip(d, mask.tolist()) if not g] if k else d).decode())  # noqa: B905
+        return n_words, n_removed, kept
 
-    return apply
+    return make
 
 
-def drop_passages(docs: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+def drop_passages(docs: DataFrame, window: int = WINDOW, text_col: str = "text", with_text: bool = True, block_bytes: int | None = None) -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept_text`` (columns of these names are replaced).
 
     A word goes if a window of ``window`` words of its document covers it whose sequence starts anywhere else too, in the
     same document or another; windows are judged on the input. Kept words are joined by one space. Null text has no
     words; rows that repeat each other are documents of their own; an empty table gives an empty result. A text may have
-    any number of words: it is held by one task, about 100 bytes a word.
+    any number of words: it is held by one task, about 100 bytes a word. ``with_text``: the text as it was, too.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     cut = blocked(docs, text_col, block_bytes=block_bytes)
     hot = docs.sparkSession.sparkContext.broadcast(hot_runs(cut, window))
     told = cut.asked(_send(window, cut.buckets, hot), SENT, _count(window), TOLD)
-    return cut.applied(told, lambda schema: _remove(window, cut.buckets, hot, schema), MADE, docs.columns)
+    return cut.applied(told, _remove(window, cut.buckets, hot), MADE, with_text)
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
