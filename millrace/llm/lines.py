@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import forget, small, table, written
 
 #: Shorter lines (code points) are compared for equality only: an edit is much of them.
 MIN_CHARS = 20
-#: A segment that more than so many different lines share is divided: its lines meet by finer keys instead.
+#: A key that more than so many different lines share is divided: its lines meet by so many finer keys instead, and so on.
 HOT = 16
 FINER = 16
 BROADCAST_ROWS = 500_000
@@ -46,60 +48,77 @@ def segment_keys(line: Column, n: Column, edits: int) -> list[Column]:
     return out
 
 
-def finer_keys(line: Column, n: Column, key: Column, seg: Column, gap: Column) -> list[Column]:
-    """Finer keys of a line of a hot segment, for one edit: the rest of the line is equal but for one of FINER stretches."""
-    (_, first), (second, last) = _segments(n - gap, 2)
-    rest = F.when(seg == 0, F.substring(line, first + 1, n)).otherwise(F.substring(line, F.lit(1), n - last))
-    size = F.when(seg == 0, last).otherwise(first)  # of the shorter line's rest
-    out = []
-    for j in range(FINER):
-        a, b = F.floor(size * j / FINER).cast("int"), F.floor(size * (j + 1) / FINER).cast("int")
-        behind = size - b
-        out.append(F.xxhash64(key, F.lit(j), F.substring(rest, F.lit(1), a), F.when(behind > 0, F.right(rest, behind)).otherwise("")))
-    return out
+def _rest(line: Column, n: Column, seg: Column, gap: Column) -> Column:
+    """What a line has besides the segment it shares, for one edit: its other half, longer by ``gap`` than the shorter line's."""
+    (_, first), (_, last) = _segments(n - gap, 2)
+    return F.when(seg == 0, F.substring(line, first + 1, n)).otherwise(F.substring(line, F.lit(1), n - last))
+
+
+def _divided(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """members(h1, h2, kind, gap, key, rest) of ``hot`` keys under finer ones: the rest is equal but for one of FINER stretches."""
+    size = F.length("rest") - F.col("gap")  # of the shorter line's rest
+    cut = lambda j: F.floor(size * j / FINER).cast("int")
+    rows = members.join(small(hot, BROADCAST_ROWS), F.col("key") == F.col("hot")).select("h1", "h2", "kind", "gap", "key", "rest", F.explode(F.sequence(F.lit(0), F.lit(FINER - 1))).alias("j"))
+    rows = rows.withColumns({"a": cut(F.col("j")), "behind": size - cut(F.col("j") + 1)}).where((size - F.col("behind") > F.col("a")) | (size == 0) & (F.col("j") == 0) | (F.col("gap") == 1))
+    tail = F.when(F.col("behind") > 0, F.right("rest", F.col("behind"))).otherwise("")
+    finer = F.xxhash64("key", "j", F.substring("rest", F.lit(1), F.col("a")), tail)
+    rows = rows.select("h1", "h2", "kind", "gap", finer.alias("key"), F.substring("rest", F.col("a") + 1, F.length("rest") - F.col("a") - F.col("behind")).alias("rest"))
+    alone = rows.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("kind").alias("own")).where("x <> y AND own = 0").select(F.col("key").alias("k"))
+    return rows.distinct().join(alone, F.col("key") == F.col("k"), "left_semi")
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, no, line, h1, h2) of the lines with a word; th: hash of the text, h1 and h2: 128 bits for the line."""
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    return d.where(F.rlike("line", F.lit(HAS_WORD))).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    return d.where(F.rlike("line", F.lit(HAS_WORD))).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def near_lines(lines: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a1, a2, b1, b2): each pair of different lines of lines(h1, h2, line) within ``edits`` edits, once, by their hashes.
 
     Both have ``min_chars`` code points or more. Lines that share a segment key meet; equal lines are one. Where more
-    than HOT lines share a key and one edit is asked for, they meet by finer keys of the rest of the line, so that a
-    common beginning or end does not bring all its lines together. Distances are banded (at most ``edits``) and of
-    candidates only.
+    than HOT lines share a key and one edit is asked for, they meet by finer keys of the rest of the line, and those that
+    still share one by finer ones again, down to the single place where they differ: lines of a common form (records,
+    log lines) come together only if they are within the edit. For more edits segments are not divided. Distances are
+    banded (at most ``edits``) and of candidates only.
     """
     fit = lines.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, edits + 1)).select("h1", "h2", "line", "n")
     keyed = fit.select("h1", "h2", F.explode(F.array(*segment_keys(F.col("line"), F.col("n"), edits))).alias("k")).where("k IS NOT NULL").select("h1", "h2", "k.*")
     shared = keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("kind").alias("own")).where("x <> y AND own = 0").select("key")
-    members = written(keyed.join(small(written(shared, "shared"), BROADCAST_ROWS), "key").distinct(), "segments")
-    ids = members.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct()
-    ids = small(written(ids, "wanted"), BROADCAST_ROWS)
-    texts = fit.join(ids, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    shared = written(shared, "shared")
+    members = written(keyed.join(small(shared, BROADCAST_ROWS), "key").distinct(), "segments")
+    ids = written(members.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct(), "wanted")
+    texts = fit.join(small(ids, BROADCAST_ROWS), (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     texts = written(texts.withColumn("n", F.length("line")), "texts")
-    if edits == 1:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        hot = written(sizes.where(F.col("size") > HOT).select(F.col("key").alias("hot")), "hot")
-        plain = members.join(hot, F.col("key") == F.col("hot"), "left_anti")
-        finer = F.explode(F.array(*finer_keys(F.col("line"), F.col("n"), F.col("key"), F.col("seg"), F.col("gap"))))
-        again = members.join(small(hot, BROADCAST_ROWS), F.col("key") == F.col("hot")).join(texts, ["h1", "h2"])
-        again = written(again.select("h1", "h2", "kind", finer.alias("key")).distinct(), "finer")
-        alone = again.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
-        members = plain.select("h1", "h2", "kind", "key").union(again.join(alone, "key").select("h1", "h2", "kind", "key"))
+    used, meeting = [shared, members, ids], [members.select("h1", "h2", "kind", "key")]
+    while edits == 1:
+        # of single places, nothing is left to divide
+        long = F.max(F.length("rest") - F.col("gap")) > 1 if "rest" in members.columns else F.lit(True)
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), long.alias("long"))
+        hot = written(sizes.where((F.col("size") > HOT) & F.col("long")).select(F.col("key").alias("hot")), "hot")
+        used.append(hot)
+        if hot.isEmpty():
+            break
+        meeting[-1] = meeting[-1].join(small(hot, BROADCAST_ROWS), F.col("key") == F.col("hot"), "left_anti")
+        if "rest" not in members.columns:
+            members = members.join(texts, ["h1", "h2"]).withColumn("rest", _rest(F.col("line"), F.col("n"), F.col("seg"), F.col("gap")))
+        members = written(_divided(members, hot), "finer")
+        used.append(members)
+        meeting.append(members.select("h1", "h2", "kind", "key"))
+    members = reduce(DataFrame.union, meeting)
     own = members.where("kind = 0").select(F.col("key"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     probes = members.select(F.col("key").alias("p"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), "kind")
     met = own.join(probes, (F.col("key") == F.col("p")) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & ((F.col("kind") == 1) | (F.struct("a1", "a2") < F.struct("b1", "b2"))))
     met = written(met.select("a1", "a2", "b1", "b2").distinct(), "candidates")
+    forget(*used)
     a, b = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}t")) for x in "ab")
     pairs = met.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     close = pairs.where(F.levenshtein("at", "bt", edits).between(1, edits))
     order = F.struct("a1", "a2") < F.struct("b1", "b2")
     sides = [F.when(order, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"))] + [F.when(order, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("a1", "b1"), ("a2", "b2"))]
-    return close.select(*sides).distinct()
+    links = written(close.select(*sides).distinct(), "links")
+    forget(met, texts)
+    return links
 
 
 def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +132,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS, id_
     docs = docs.drop("n_lines", "n_dropped", "n_links", "kept_text")
     lines = _exploded(docs, id_col, text_col)
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("first")), "firsts")
-    links = written(near_lines(lines, edits, min_chars), "links")
+    links = near_lines(lines, edits, min_chars)
     a, b = (firsts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"{x}f")) for x in "ab")
     placed = links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     ends = placed.select(F.explode(F.array(F.struct(F.col("a1").alias("e1"), F.col("a2").alias("e2"), (F.col("bf") < F.col("af")).alias("later")), F.struct(F.col("b1").alias("e1"), F.col("b2").alias("e2"), (F.col("af") < F.col("bf")).alias("later")))).alias("e")).select("e.*")
@@ -123,7 +142,8 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = MIN_CHARS, id_
     # a flag for each line up to the last one kept
     gaps = F.zip_with(F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0)))), "at", lambda p, q: F.concat(F.repeat(F.lit("0"), q - p - 1), F.lit("1")))
     flags = F.when(F.size("at") > 0, F.split(F.array_join(gaps, ""), "")).otherwise(F.array().cast("array<string>"))
-    kept = kept.select(F.col("id").alias("__id"), F.col("th").alias("__th"), flags.alias("__flags"), "__links")
+    kept = written(kept.select(F.col("id").alias("__id"), F.col("th").alias("__th"), flags.alias("__flags"), "__links"), "kept")
+    forget(firsts, links)
     joined = docs.withColumn("__h", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     word = lambda x: F.rlike(x, F.lit(HAS_WORD))
     split = F.split(text_col, "\n")

@@ -88,6 +88,23 @@ def test_many_lines_with_a_common_half(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 1, 20) == brute(rows, 1, 20)
 
 
+def test_records_meet_only_within_the_edit(spark, monkeypatch):
+    """Long lines that differ in a number: candidates grow with the lines, not with their square."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import lines
+
+    seen = {}
+    keep = lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: seen.setdefault(name, []).append(keep(df, name)) or seen[name][-1])
+    monkeypatch.setattr(lines, "forget", lambda *tables: None)
+    form = "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = [(i, f"{form}{1000 + 7919 * i % 9000}{i * 104729 % 9973:04d}{form[::-1]}") for i in range(400)]
+    rows += [(500, rows[3][1].replace("a", "A", 1)), (501, rows[5][1][:-1])]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 1, 20) == brute(rows, 1, 20)
+    assert seen["candidates"][0].agg(F.count("a1")).first()[0] < 3000
+
+
 def test_driver_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     want = sorted((i, n, d, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, k, t in brute(rows, 1, 20))
