@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from itertools import combinations_with_replacement
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, table, written
+from .common import forget, small, table, written
 
 SYMBOLS = b"#*$%&|<>"
 STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")])
@@ -27,12 +28,20 @@ FLOORS = (0.05, 0.35, 0.35, 0.35, 0.7)
 PRIOR = 40
 #: The share of a group that the estimates rest on, and how many concentration steps lead there.
 HALF, STEPS = 0.5, 5
-#: Squared distance beyond which a text is rejected, on a scale on which the group's median is that of chi-square. Clean
-#: texts have heavy tails (short ones with one repeated line reach 160); junk starts beyond 600.
-MEDIAN, CUT = 4.351, 250.0
+#: Distances are scaled so that a group's median is that of chi-square with a degree of freedom for each statistic. Counts
+#: of repeats and symbols have longer tails than a normal distribution: the logarithms of squared distances spread TAIL
+#: times as far (from the lower quartile to the median, in each language). A clean text is rejected once in 1 / ALPHA.
+MEDIAN, TAIL, ALPHA = 4.351, 2.0, 1e-5
 BROADCAST_GROUPS = 50_000
 
 
+def cut_for(alpha: float = ALPHA, tail: float = TAIL) -> float:
+    """The squared distance beyond which a text is rejected: the quantile of chi-square (Wilson and Hilferty's), stretched by the tail."""
+    d = len(FLOORS)
+    quantile = d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(1 - alpha) * (2 / (9 * d)) ** 0.5) ** 3
+    return MEDIAN * (quantile / MEDIAN) ** tail
+
+
 def stats(text: bytes | None) -> tuple[int, ...]:
     """STATS of a text; null counts as empty. A word in several repeated 3-word windows counts once."""
     text = text or b""
@@ -80,15 +89,18 @@ def _estimates(moments: pd.DataFrame, d: int) -> pd.DataFrame:
     cov = np.empty((len(moments), d, d))
     for k, (i, j) in enumerate(pairs):
         cov[:, i, j] = cov[:, j, i] = ss[:, k] / n[:, 0] - mean[:, i] * mean[:, j]
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS[:d])))
-    return pd.DataFrame({"lang": moments["lang"], "source": moments["source"], "centre": mean.tolist(), "inverse": [[float(m[i, j]) for i, j in pairs] for m in inverse]})
+    cov = cov + np.diag(np.square(FLOORS[:d]))
+    inverse = np.linalg.inv(cov)
+    return pd.DataFrame({"lang": moments["lang"], "source": moments["source"], "start": moments["start"], "centre": mean.tolist(), "inverse": [[float(m[i, j]) for i, j in pairs] for m in inverse], "det": np.linalg.slogdet(cov)[1]})
 
 
 def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
     """(lang, source, centre, inverse) of rows(lang, source, x): minimum-covariance-determinant estimates of each group.
 
-    From the groups' medians and median deviations, each step takes the closest ``half`` of a group by Mahalanobis
-    distance and estimates anew from it; a step never raises the determinant. Distances are binned in 1/16 steps of
+    There are two starts, both from the groups' medians and median deviations: the statistics by themselves, and with the
+    correlations of the directions in which texts lie from the median (spatial signs). Each step takes the closest
+    ``half`` of a group by Mahalanobis distance and estimates anew from it; a step never raises the determinant. The
+    start that ends with the smaller one counts. Distances are binned in 1/16 steps of
     their logarithm: one pass sums counts, vectors and products by group and bin (combined before the shuffle), and a
     group's lowest bins that hold ``half`` of it give the next estimates. No group is gathered in one place, and the
     driver sees no rows.
@@ -97,19 +109,43 @@ def mcd(rows: DataFrame, steps: int = STEPS, half: float = HALF) -> DataFrame:
     pairs = list(combinations_with_replacement(range(d), 2))
     keys = ["lang", "source"]
     join = lambda a, b: a.join(b.withColumnsRenamed({k: f"__{k}" for k in keys}), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__lang", "__source")
-    mid = small(written(rows.groupBy(*keys).agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(d)]).alias("centre")), "median"), BROADCAST_GROUPS)
-    spread = join(rows, mid).groupBy(*keys).agg(F.first("centre").alias("centre"), F.array(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000) for i in range(d)]).alias("mad"))
-    start = F.array(*[F.lit(1.0) / (F.pow(F.col("mad")[i] * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i, j in pairs])
-    now = written(spread.select(*keys, "centre", start.alias("inverse")), "mcd")
+    mid_ = written(rows.groupBy(*keys).agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(d)]).alias("centre")), "median")
+    spread = join(rows, small(mid_, BROADCAST_GROUPS)).groupBy(*keys).agg(F.first("centre").alias("centre"), F.array(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000) for i in range(d)]).alias("mad"))
+    spread_ = written(spread, "spread")
+    spread = small(spread_, BROADCAST_GROUPS)
+    width = F.array(*[F.sqrt(F.pow(F.col("mad")[i] * 1.4826, 2) + FLOORS[i] ** 2) for i in range(d)])
+    z = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: (F.get("x", i) - F.get("centre", i)) / F.get("width", i))
+    signs = join(rows, spread).withColumn("width", width).withColumn("z", z).withColumn("norm", F.aggregate("z", F.lit(1e-9), lambda acc, v: acc + v * v))
+    signs = signs.groupBy(*keys).agg(F.first("centre").alias("centre"), F.first("width").alias("width"), F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("z")[i] * F.col("z")[j] / F.col("norm")) for i, j in pairs]).alias("ss"))
+    shape = "lang string, source string, start int, centre array<double>, inverse array<double>, det double"
+    now = written(signs.mapInPandas(lambda it: (_starts(x, d) for x in it if len(x)), shape), "mcd")
     schema = now.schema
     for _ in range(steps):
         placed = join(rows, small(now, BROADCAST_GROUPS)).withColumn("bin", F.floor(F.log(_distance("x", "centre", "inverse", d) + 1e-6) * 16).cast("int"))
-        sums = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}{j}") for i, j in pairs])
-        by = W.partitionBy(*keys)
+        sums = placed.groupBy(*keys, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}{j}") for i, j in pairs])
+        by = W.partitionBy(*keys, "start")
         sums = sums.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by)).where(F.col("upto") - F.col("n") < F.col("all") * half)
-        sums = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(d)]).alias("s"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("ss"))
-        now = written(sums.mapInPandas(lambda it: (_estimates(x, d) for x in it if len(x)), schema), "mcd")
-    return now
+        sums = sums.groupBy(*keys, "start").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(d)]).alias("s"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("ss"))
+        after = written(sums.mapInPandas(lambda it: (_estimates(x, d) for x in it if len(x)), schema), "mcd")
+        forget(now)
+        now = after
+    forget(mid_, spread_)
+    best = now.groupBy(*keys).agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("best"))
+    return best.select(*keys, "best.*")
+
+
+def _starts(groups: pd.DataFrame, d: int) -> pd.DataFrame:
+    """Two starts of each group: independent statistics, and those correlated as the signs are."""
+    pairs = list(combinations_with_replacement(range(d), 2))
+    width, sums, out = np.array(groups["width"].tolist()).reshape(-1, d), np.array(groups["ss"].tolist()).reshape(-1, len(pairs)), []
+    for start in (0, 1):
+        cov = np.zeros((len(groups), d, d))
+        for k, (i, j) in enumerate(pairs):
+            cov[:, i, j] = cov[:, j, i] = sums[:, k] / groups["n"].to_numpy() * d if start else float(i == j)
+        cov = (cov + start * 0.05 * np.eye(d)) * width[:, :, None] * width[:, None, :]
+        inverse = np.linalg.inv(cov)
+        out.append(pd.DataFrame({"lang": groups["lang"], "source": groups["source"], "start": start, "centre": groups["centre"], "inverse": [[float(m[i, j]) for i, j in pairs] for m in inverse], "det": np.linalg.slogdet(cov)[1]}))
+    return pd.concat(out)
 
 
 def _shrunk(rows: pd.DataFrame, d: int) -> pd.DataFrame:
@@ -146,16 +182,16 @@ def shrunk(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return full.mapInPandas(lambda it: (_shrunk(x, d) for x in it if len(x)), "e_lang string, e_source string, centre array<double>, inverse array<double>")
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "rules", cut: float = CUT) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "rules", cut: float | None = None) -> DataFrame:
     """docs without their text, with ``out_col``: (stats..., base_failed, distance, kept). Replaces a column of that name.
 
     A text fails the base rules with fewer than MIN_WORDS words or with more than MAX_REPEAT_PERCENT of them in
     repeated 3-word windows. All that pass give the estimates of their language and source, shrunk by size as shrunk()
-    says, and are kept unless their squared distance, on a scale on which a group's median is MEDIAN, is above ``cut``.
+    says, and are kept unless their squared distance, on a scale on which a group's median is MEDIAN, is above ``cut`` (cut_for()).
     Null language and source are values of their own. Only texts of a source of which none passes have no distance.
     Null text is empty; an empty table gives an empty result.
     """
-    d = len(FLOORS)
+    d, cut = len(FLOORS), cut_for() if cut is None else cut
     plain = with_stats(docs.select(*[F.col(c).alias(f"c__{c}") for c in docs.columns if c not in (text_col, out_col)], F.col(text_col).alias("__text")), "__text", "stats").drop("__text")
     s = lambda n: F.col(f"stats.{n}")
     plain = plain.withColumn("base_failed", (s("n_words") < MIN_WORDS) | (100 * s("n_repeat_words") > MAX_REPEAT_PERCENT * s("n_words"))).withColumn("x", vector())
@@ -177,5 +213,3 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", *[f"rules.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")])
-
-

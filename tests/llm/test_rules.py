@@ -104,3 +104,40 @@ def test_a_rare_language_is_judged_too(spark):
     out = kept(spark, rows)
     assert not out[300].kept and not out[301].kept and not out[400].kept and None not in [r.distance for r in out.values()]
     assert all(r.kept for i, r in out.items() if not 300 <= i <= 400)
+
+
+def brute_mcd(x, half=0.5, starts=200):
+    """Centre and covariance (with the floors) of the half of smallest determinant, from many random starts."""
+    rng, best, ridge = np.random.default_rng(1), None, np.diag(np.square(rules.FLOORS))
+    h = int(np.ceil(len(x) * half))
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 7, replace=False)]
+        for _ in range(30):
+            centre, cov = own.mean(0), np.cov(own.T, bias=True) + ridge
+            far = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            own = x[np.argsort(far, kind="stable")[:h]]
+        centre, cov = own.mean(0), np.cov(own.T, bias=True) + ridge
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], centre, cov
+    return best[1:]
+
+
+def test_verdicts_equal_brute_force(spark):
+    """One source, a fifth of it junk of several kinds: the same texts are kept as by exhaustive concentration steps."""
+    rng = random.Random(11)
+    rows = prose(rng, 160, "en", "s") + tables(rng, 20, "en", "s", 1000) + [(2000 + i, "same line of text here\n" * 6 + r[1], "en", "s") for i, r in enumerate(prose(rng, 20, "en", "s"))]
+    got = kept(spark, rows)
+    vectors = {}
+    for i, text, _, _ in rows:
+        n, chars, symbols, dups, repeats = brute(text)
+        lines = len([x for x in text.split("\n") if x.strip()])
+        odds = math.log((dups + 1) / (lines - dups + 1)) + math.log(lines + 1)
+        vectors[i] = [math.log((chars + 1) / n), math.log1p(200 * symbols / n), odds, math.log1p(20 * repeats / n), math.log(n)]
+    good = [i for i in vectors if not got[i].base_failed]
+    x = np.array([vectors[i] for i in good])
+    centre, cov = brute_mcd(x)
+    far = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+    far *= rules.MEDIAN / max(np.median(far), rules.MEDIAN / 4)
+    want = dict(zip(good, far <= rules.cut_for()))
+    assert {i: got[i].kept for i in good} == want and 0 < sum(want.values()) < len(want)
+    assert 25 < rules.cut_for(tail=1.0) < 35 and rules.cut_for(1e-3) < rules.cut_for(1e-5)
