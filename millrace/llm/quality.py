@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +35,7 @@ def _slot(name: bytes) -> int:
     return crc32(name) & MASK
 
 
+@lru_cache(1 << 16)
 def _word(w: bytes) -> tuple[int, ...]:
     """Slots of the word without its case and outer punctuation, and of its prefixes; last a number for its shape."""
     core = w.lower().strip(EDGE) or w
@@ -63,9 +65,9 @@ def features(text: bytes | None) -> set[int]:
 def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, prior: float = 2.0, z: float = 3.5, power: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(grade <= k) = logistic(thresholds[k] - sum of weights), by penalised likelihood.
 
-    Every slot that misses the top grade more often than all rows takes part, however rare; words that merely make texts
-    long stay out. The penalty does the shrinking: the less a slot's excess is against ``z`` standard errors (of ``prior``
-    rows more than have it), the larger, so that rare slots count where no clearer ones explain a grade.
+    Every slot takes part, however rare, whether it misses the top grade more or less often than all rows. The penalty
+    does the shrinking: the less a slot's difference is against ``z`` standard errors (of ``prior`` rows more than have
+    it), the larger, so that rare slots count where no clearer ones explain a grade.
 
     Ordered thresholds are a first one plus exponentials. Without rows everything gets the top grade.
     """
@@ -78,7 +80,7 @@ def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int
     below = y < n_grades - 1
     rate = np.clip(below.mean(), 1e-3, 1 - 1e-3)
     n, bad = np.bincount(slots, minlength=1 << BITS), np.bincount(slots, below[owner], minlength=1 << BITS)
-    ease = np.clip((bad - n * rate) / (z * np.sqrt((n + prior) * rate * (1 - rate))), 0, 1) ** power
+    ease = np.clip(np.abs(bad - n * rate) / (z * np.sqrt((n + prior) * rate * (1 - rate))), 0, 1) ** power
     used, part = np.flatnonzero(ease > 0), ease[slots] > 0
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
@@ -114,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_
     """fit() over at most ``most`` labelled documents; null ids and grades are left out, equal texts of a grade count once."""
     extract = F.arrow_udf(lambda text: pa.array([np.array(sorted(features(t)), np.int32).tobytes() for t in text.cast(pa.binary()).to_pylist()], pa.binary()), T.BinaryType())
     chosen = labels.select(F.col(id_col).alias("__id"), grade.cast("int").alias("grade")).dropna().orderBy(F.xxhash64("__id"), "grade").limit(most)
-    got = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(extract(text_col).alias("f"), "grade").collect()
-    once = sorted({(bytes(r.f), r.grade) for r in got})
+    got = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(extract(text_col).alias("f"), "grade")
+    # copies count once, before anything is sent; of an id with many texts no more than ``most`` rows in all come
+    once = sorted((bytes(r.f), r.grade) for r in got.distinct().orderBy(F.xxhash64("f"), "grade").limit(most).collect())
     return fit([np.frombuffer(f, np.int32) for f, _ in once], [g for _, g in once], n_grades)
 
 
