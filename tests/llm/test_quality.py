@@ -43,10 +43,10 @@ def test_fit_is_the_penalised_optimum():
             out += math.log(below[g + 1] - below[g])
         return out
 
-    own = np.where(ease > 0, weights[:30] / np.where(ease > 0, ease, 1), 0)
+    own = np.where(ease > quality.LEAST, weights[:30] / np.where(ease > 0, ease, 1), 0)
     best = value(own, cuts)
     for _ in range(200):
-        assert value(own + rng.normal(0, 0.05, 30) * (ease > 0), cuts + rng.normal(0, 0.02, 2)) <= best + 1e-3
+        assert value(own + rng.normal(0, 0.05, 30) * (ease > quality.LEAST), cuts + rng.normal(0, 0.02, 2)) <= best + 1e-3
     assert min(own) < 0 < max(own) and weights[3] < 0
 
 
