@@ -40,7 +40,15 @@ class Executor:
         return self.frame().toLocalIterator(prefetchPartitions=True)
 
     def list(self) -> list[Row]:
-        return self.frame().collect()
+        df, text = self.frame(), self.prepared().comment
+        context = df.sparkSession.sparkContext
+        before = context.getLocalProperty("spark.job.description")
+        if text:
+            context.setJobDescription(text)
+        try:
+            return df.collect()
+        finally:
+            context.setLocalProperty("spark.job.description", before)
 
     def list_to(self, add: Callable[[Row], Any]) -> None:
         for row in self.items():

@@ -153,6 +153,24 @@ def compose(fields: dict[str, Expr], text: str | None = None, **rules: Rule) ->
     return Composed(fields, [where_(n, r) for n, r in rules.items() if not r.is_zero])
 
 
+def map_filter(args: Iterable[Any], make: Callable[[Rule], Any]) -> list[Any]:
+    """What ``make`` gives for each filter among the arguments, None left out."""
+    return [x for x in (make(a) for a in args if isinstance(a, Rule)) if x is not None]
+
+
+def in_seq(values: Iterable[Any]) -> Rule:
+    return Rule("in", tuple(values))
+
+
+def not_in_seq(values: Iterable[Any]) -> Rule:
+    return Rule("notin", tuple(values))
+
+
+def lit(value: Any) -> Rule:
+    """A literal for itself: equal to it."""
+    return Rule("eq", (value,))
+
+
 def first(rules: Iterable[Rule], test: Callable[[Rule], bool]) -> Rule | None:
     return next((r for r in rules if test(r)), None)
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.model import Catalog, Col, Key, Model
+from millrace.model import Catalog, Col, Key, Model, from_json, quoted, to_json
 
 #: The order in which actions are carried out.
 ORDER = ("drop index", "drop column", "rename column", "modify column", "add column", "add index", "create table")
 
 
+PROPERTY = "millrace.model"
+
+
 @dataclass(frozen=True)
 class Action:
     kind: str
@@ -79,7 +82,8 @@ def _default(c: Col) -> Any:
 
 def create_sql(model: Model) -> str:
     cols = ", ".join(f"{c.name} {c.type.upper().replace('LONG', 'BIGINT')}{'' if c.null else ' NOT NULL'}" for c in model.live_columns())
-    return f"CREATE TABLE IF NOT EXISTS {model.table} ({cols}) USING parquet"
+    # what Spark's catalog has no place for: keys, defaults, comments
+    return f"CREATE TABLE IF NOT EXISTS {model.table} ({cols}) USING parquet TBLPROPERTIES ('{PROPERTY}' = {quoted(to_json(model))})"
 
 
 def drop_sql(model: Model) -> str:
@@ -95,7 +99,22 @@ def create_tables(spark: SparkSession, catalog: Catalog) -> None:
         spark.sql(create_sql(m))
 
 
+def index_sql(model: Model, key: Key | None = None, drop: str = "") -> str:
+    """An index of a table in Spark's catalog, added or dropped: a change of the model that the table carries."""
+    keys = tuple(k for k in model.keys if k.name not in (drop, key.name if key else "")) + ((key,) if key else ())
+    return f"ALTER TABLE {model.table} SET TBLPROPERTIES ('{PROPERTY}' = {quoted(to_json(replace(model, keys=keys)))})"
+
+
+def introspect_all(spark: SparkSession, database: str = "default") -> Catalog:
+    """The models of a database's tables."""
+    return Catalog.of(*[introspect(spark, t.name) for t in spark.catalog.listTables(database) if not t.isTemporary])
+
+
 def introspect(spark: SparkSession, table: str) -> Model:
+    """The model that the table was created with; of other tables, their columns."""
+    stored = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if PROPERTY in stored:
+        return from_json(stored[PROPERTY])
     return Model(table, tuple(Col(c.name, c.dataType.replace("bigint", "long"), c.nullable) for c in spark.catalog.listColumns(table)))
 
 
@@ -106,6 +125,8 @@ def migrate(session: Any, current: Catalog, wanted: Catalog) -> dict[str, list[A
         actions = diff(current.models.get(m.table), m)
         if any("column" in a.kind for a in actions):
             session.write(m, migrated(session.read(current.models[m.table]), actions))
+        elif any("index" in a.kind for a in actions) and session.version(m.table):
+            session.remodel(m)  # a unique index that does not hold fails here
         out[m.table] = actions
     return out
 

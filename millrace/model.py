@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from dataclasses import field as field_
 from typing import Any
 
@@ -136,6 +137,12 @@ class _Given(Expr):
         return self.column
 
 
+def sql_name(at: Resolver, column: Col) -> str:
+    """The column as SQL text, its names quoted."""
+    table = getattr(at, "table", lambda c: None)(column)
+    return ".".join(f"`{p.replace('`', '``')}`" for p in (table, column.name) if p)
+
+
 @dataclass(frozen=True)
 class Template(Expr):
     text: str
@@ -144,7 +151,7 @@ class Template(Expr):
     named: tuple = ()
 
     def resolve(self, at: Resolver) -> Column:
-        full = lambda c: at(c)._jc.toString()
+        full = lambda c: sql_name(at, c)
         if isinstance(self.of, Col):
             text = self.text.replace("#", full(self.of))
         else:
@@ -190,6 +197,26 @@ def parse_index(text: str) -> Key:
     return Key(name, tuple(p[0] for p in parts), kind, method, tuple(tuple(o.lower() for o in p[1:]) for p in parts))
 
 
+def match_column(col: Col, name: str) -> bool:
+    """Is it the column's name, or its field's if it begins with a capital?"""
+    return (col.field if name[:1].isupper() else col.name) == name
+
+
+def has_soft_delete(model: Model) -> bool:
+    return model.soft_delete is not None
+
+
+def to_json(model: Model) -> str:
+    return json.dumps(asdict(replace(model, columns=tuple(replace(c, model=None) for c in model.columns))))
+
+
+def from_json(text: str) -> Model:
+    d = json.loads(text)
+    keys = tuple(Key(k["name"], tuple(k["columns"]), k["kind"], k["method"], tuple(tuple(o) for o in k["options"])) for k in d.pop("keys"))
+    columns, soft = tuple(Col(**c) for c in d.pop("columns")), d.pop("soft_delete")
+    return Model(**{**d, "columns": columns, "keys": keys, "soft_delete": tuple(soft) if soft else None, "relations": tuple(map(tuple, d["relations"]))})
+
+
 def column_name(field_name: str, tag: str = "") -> str:
     """A tag's first part, lower-cased; else f_ and the field's name, lower-cased."""
     return tag.split(",")[0].lower() or f"f_{field_name.lower()}"

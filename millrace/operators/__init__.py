@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.model import Catalog, Col, Expr, Model
+from millrace.model import Catalog, Col, Expr, Model, sql_name
 from millrace.plans import Block, Join, compile_block
 from millrace.plans.block import subquery
 from millrace.sources import as_, from_, from_all  # noqa: F401
@@ -87,22 +88,22 @@ def where_cond(condition: Callable | None, op: str = "and") -> Operator:
     return operator(FILTER, lambda b: b if condition is None else b.with_(where=(*b.where, (op, condition))))
 
 
-def _in_select(col: Expr, column: Col, source: Block, word: str, op: str) -> Operator:
+def _in_select(col: Col, column: Col, source: Block, word: str, op: str) -> Operator:
     def condition(at: Callable[[Col], Column], catalog: Catalog) -> Column | None:
         if not source.filtered:
             return None
-        return F.expr(f"{col.resolve(at)._jc.toString()} {word} (SELECT v FROM {subquery(source, column, catalog)})")
+        return F.expr(f"{sql_name(at, col)} {word} (SELECT v FROM {subquery(source, column, catalog)})")
 
     condition.needs_catalog = True
     return operator(FILTER, lambda b: b.with_(where=(*b.where, (op, condition))))
 
 
-def where_in_select(col: Expr, column: Col, source: Block, op: str = "and") -> Operator:
+def where_in_select(col: Col, column: Col, source: Block, op: str = "and") -> Operator:
     """col IN (SELECT column FROM source). Without a filter or limit in the source the whole predicate vanishes."""
     return _in_select(col, column, source, "IN", op)
 
 
-def where_not_in_select(col: Expr, column: Col, source: Block, op: str = "and") -> Operator:
+def where_not_in_select(col: Col, column: Col, source: Block, op: str = "and") -> Operator:
     """NOT IN by SQL's rules: a null among the source's values lets nothing pass. Vanishes like where_in_select()."""
     return _in_select(col, column, source, "NOT IN", op)
 
@@ -168,7 +169,12 @@ cast_asc_sort, cast_desc_sort, default_sort = asc_sort, desc_sort, asc_sort
 
 def limit(n: int, offset: int = 0) -> Operator:
     """The last one holds; 0 is no limit, a negative number changes nothing."""
-    return operator(LIMIT, lambda b: b if n < 0 else b.with_(limit=n, offset=offset))
+    return operator(LIMIT, lambda b: b if n < 0 else b.with_(limit=n, offset=offset or b.offset))
+
+
+def offset(n: int) -> Operator:
+    """Rows to leave out before the limit's; without a limit it changes nothing, and a later limit() sets its own."""
+    return operator(LIMIT, lambda b: b if n < 0 else b.with_(offset=n))
 
 
 def for_count() -> Operator:
@@ -193,13 +199,20 @@ union, intersect, except_ = map(_set, ("union", "intersect", "except"))
 
 
 def _lock(**options: bool) -> Operator:
+    warnings.warn("row locks do nothing here: versions of a table never change, and a commit that meets another fails", stacklevel=2)
     return operator(LOCK, lambda b: b)
 
 
 for_update = for_no_key_update = for_share = for_key_share = _lock
 
 
+def addition(change: Callable) -> Operator:
+    """A change of the finished frame (DataFrame to DataFrame): hints, clauses that have no operator."""
+    return operator(SETTING, lambda b: b.with_(additions=(*b.additions, change)))
+
+
 def comment(text: str) -> Operator:
+    """Describes the jobs that an executor's verbs run for the block."""
     return operator(SETTING, lambda b: b.with_(comment=text))
 
 

@@ -33,6 +33,10 @@ class Outcome:
     affected: DataFrame
 
 
+#: Parts in which rows are numbered.
+NUMBERING_PARTS = 1024
+
+
 def _literal(v: Any) -> Callable:
     return lambda at: v.resolve(at) if isinstance(v, Expr) else F.lit(v)
 
@@ -89,14 +93,21 @@ def key_columns(model: Model, name: str) -> list[Col]:
     return [model[c] for c in key.columns]
 
 
-def insert(target: DataFrame, rows: DataFrame, model: Model) -> Outcome:
-    """rows appended: columns they lack get their default, autoincremented ones go on from the largest."""
+def insert(target: DataFrame, rows: DataFrame, model: Model, now: Any = None) -> Outcome:
+    """rows appended: columns they lack get their default, autoincremented ones go on from the largest.
+
+    The model's ``created`` and ``updated`` columns become ``now`` (unix seconds) where rows have none or zero there.
+    """
+    stamp = F.unix_timestamp() if now is None else F.lit(now)
+    for c in filter(None, (model.created, model.updated)):
+        rows = rows.withColumn(c, F.when(F.coalesce(F.col(c), F.lit(0)) == 0, stamp).otherwise(F.col(c)) if c in rows.columns else stamp)
     by_name = {c.name: c for c in model.live_columns()}
     auto = next((c.name for c in by_name.values() if c.autoincrement and c.name not in rows.columns), None)
     if auto:
         top = target.agg(F.coalesce(F.max(auto), F.lit(0)).alias("__top"))
-        # numbers without one big sort: partitions are counted first
-        rows = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+        # numbers without one big sort: parts are counted first. Parts and order are made of the rows' contents, so both passes agree
+        whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        rows = rows.withColumn("__i", whole).withColumn("__p", F.pmod(F.xxhash64("__i"), F.lit(NUMBERING_PARTS)))
         sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
         sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
         rows = rows.join(F.broadcast(sizes), "__p").crossJoin(F.broadcast(top))  # a row a partition, and one row
@@ -186,10 +197,10 @@ def apply(target: DataFrame, block: Block, catalog: Catalog, now: Any = None) ->
     if m is None or m.kind == "insert":
         rows = block.source
         if m is not None and m.on_conflict:
-            full = insert(target.limit(0), rows, block.model).affected if set(rows.columns) != set(target.columns) else rows
+            full = insert(target.limit(0), rows, block.model, now).affected if set(rows.columns) != set(target.columns) else rows
             out = upsert(target, full, [c.name for c in m.on_conflict[0]], m.on_conflict[1], block.returning)
         else:
-            out = insert(target, rows, block.model)
+            out = insert(target, rows, block.model, now)
     elif m.kind == "update":
         out = update(target, block, catalog)
     else:

@@ -16,9 +16,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.model import Catalog, Col, Expr, Model
+from millrace.model import Catalog, Col, Expr, Model, sql_name
 
 _views = itertools.count()
+_pending: list[str] = []
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ class Block:
     include_deleted: bool = False
     set_ops: tuple[tuple[str, Block], ...] = ()
     comment: str = ""
+    additions: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     mutation: Any = None
     returning: bool = False
 
@@ -86,7 +88,12 @@ def safe_projected(table: str, column: str) -> str:
 
 def resolver(block: Block) -> Callable[[Col], Column]:
     names = {block.model.name: block.name}
-    return lambda c: F.col(f"`{names.get(c.model.name, c.model.name)}`.`{c.name}`") if c.model is not None else F.col(f"`{c.name}`")
+
+    def at(c: Col) -> Column:
+        return F.col(sql_name(at, c))
+
+    at.table = lambda c: names.get(c.model.name, c.model.name) if c.model is not None else None
+    return at
 
 
 def fold(block: Block, at: Callable[[Col], Column], catalog: Catalog) -> Column | None:
@@ -131,6 +138,14 @@ def _project(block: Block, df: DataFrame, at: Callable[[Col], Column]) -> list[C
 
 
 def compile_block(block: Block, catalog: Catalog) -> DataFrame:
+    mark = len(_pending)
+    df = _compiled(block, catalog)
+    while len(_pending) > mark:  # plans are analysed by now
+        df.sparkSession.catalog.dropTempView(_pending.pop())
+    return df
+
+
+def _compiled(block: Block, catalog: Catalog) -> DataFrame:
     at = resolver(block)
     df = _scan(block, catalog)
     for j in block.joins:
@@ -183,12 +198,12 @@ def compile_block(block: Block, catalog: Catalog) -> DataFrame:
             # a sort may use columns that the projection drops
             df = df.orderBy(*orders) if orders else df
             df = _paged(block, df)
-            return _named(block, df.select(*cols) if cols else df)
+            return _added(block, df.select(*cols) if cols else df)
     for op, other in block.set_ops:
         right = compile_block(other, catalog)
         df = {"union all": lambda a, b: a.union(b), "union": lambda a, b: a.union(b).distinct(), "intersect all": DataFrame.intersectAll, "intersect": DataFrame.intersect, "except all": DataFrame.exceptAll, "except": DataFrame.subtract}[op](df, right)
     df = df.orderBy(*orders) if orders else df
-    return _named(block, _paged(block, df))
+    return _added(block, _paged(block, df))
 
 
 def _paged(block: Block, df: DataFrame) -> DataFrame:
@@ -198,9 +213,9 @@ def _paged(block: Block, df: DataFrame) -> DataFrame:
     return df
 
 
-def _named(block: Block, df: DataFrame) -> DataFrame:
-    if block.comment:
-        df.sparkSession.sparkContext.setJobDescription(block.comment)
+def _added(block: Block, df: DataFrame) -> DataFrame:
+    for change in block.additions:
+        df = change(df)
     return df
 
 
@@ -209,4 +224,5 @@ def subquery(block: Block, column: Col, catalog: Catalog) -> str:
     df = compile_block(block.with_(projects=(column,), default_projects=()), catalog)
     name = f"__millrace_{next(_views)}"
     df.toDF("v").createOrReplaceTempView(name)
+    _pending.append(name)
     return name

@@ -93,12 +93,12 @@ for _name, _v, _sql in (
     ("in_seq_empty", f.in_seq([]), "WHERE false"), ("not_in_seq_empty", f.not_in_seq([]), ""), ("in_seq", f.in_seq(range(3)), "WHERE p_size IN (0, 1, 2)"),
 ):
     block(f"where_{_name}", lambda v=_v: _pick(P, P.p_partkey, P.p_size) | o.where(P.p_size, v), f"SELECT p_partkey, p_size FROM part {_sql}")
-for _name, _v, _sql in (("like", f.like("1_"), "LIKE '%1_%'"), ("not_like", f.not_like("1"), "NOT LIKE '%1%'"), ("left_like", f.left_like("7"), "LIKE '%7'"), ("right_like", f.right_like("part"), "LIKE 'part%'")):
+for _name, _v, _sql in (("like", f.like("l_r"), "LIKE '%l_r%'"), ("not_like", f.not_like("in"), "NOT LIKE '%in%'"), ("left_like", f.left_like("ring"), "LIKE '%ring'"), ("right_like", f.right_like("small"), "LIKE 'small%'")):
     block(f"where_{_name}", lambda v=_v: _pick(P, P.p_partkey, P.p_name) | o.where(P.p_name, v), f"SELECT p_partkey, p_name FROM part WHERE p_name {_sql}")
 _AL = LABELS.with_name("lab")
 for _name, _v, _sql in (("is_null", f.is_null(), "IS NULL"), ("is_not_null", f.is_not_null(), "IS NOT NULL")):
     block(f"where_{_name}", lambda v=_v: from_(D) | o.left_join_on(D.doc_id, _AL.doc_id, all_rows=True) | o.cast_where(_AL.doc_id, v) | o.select(D.doc_id, _AL.quality), f"SELECT d.doc_id AS documents__doc_id, l.quality AS lab__quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id {_sql}")
-block("eq_col", lambda: _pick(L, L.l_orderkey, L.l_partkey) | o.where(L.l_returnflag, f.eq_col(L.l_linestatus)), "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = l_linestatus")
+block("eq_col", lambda: _pick(L, L.l_orderkey, L.l_partkey) | o.where(L.l_linenumber, f.eq_col(L.l_quantity)), "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = l_quantity")
 block("neq_col", lambda: _pick(L, L.l_orderkey, L.l_partkey) | o.where(L.l_returnflag, f.neq_col(L.l_linestatus)) | o.where(L.l_quantity, f.lt(5.0)), "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> l_linestatus AND l_quantity < 5")
 block("or_where_fold", lambda: _pick(O_, O_.o_orderkey) | o.where(O_.o_orderstatus, f.eq("F")) | o.or_where(O_.o_orderstatus, f.eq("P")) | o.where(O_.o_totalprice, f.gt(100000.0)), "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'P') AND o_totalprice > 100000")
 block("and_or_fold", lambda: _pick(O_, O_.o_orderkey) | o.where(O_.o_orderstatus, f.eq("F")) | o.where(O_.o_totalprice, f.gt(100000.0)) | o.or_where(O_.o_orderkey, f.lt(50)), "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 100000) OR o_orderkey < 50")
@@ -173,7 +173,7 @@ block("limit_then_where", lambda: _sorted() | o.limit(25) | o.where(O_.o_orderst
 block("limit_zero", lambda: _sorted() | o.limit(0, 5), "SELECT o_orderkey, o_totalprice FROM orders")
 block("limit_last_wins", lambda: _sorted() | o.limit(5) | o.limit(7) | o.limit(-1), f"{_SORTED} LIMIT 7")
 block("top_k_multi_key", lambda: _pick(P, P.p_partkey) | o.asc_sort(P.p_brand) | o.desc_sort(P.p_size) | o.asc_sort(P.p_partkey) | o.limit(30), "SELECT p_partkey FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 30")
-block("sort_nulls", lambda: from_(D) | o.left_join_on(D.doc_id, _AL.doc_id, all_rows=True) | o.select(D.doc_id, _AL.quality) | o.cast_asc_sort(_AL.quality, "last") | o.asc_sort(D.doc_id) | o.limit(60), "SELECT d.doc_id AS documents__doc_id, l.quality AS lab__quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS LAST, d.doc_id LIMIT 60")
+block("sort_nulls", lambda: from_(D) | o.left_join_on(D.doc_id, _AL.doc_id, all_rows=True) | o.select(D.doc_id, _AL.quality) | o.cast_asc_sort(_AL.quality, "last") | o.asc_sort(D.doc_id), "SELECT d.doc_id AS documents__doc_id, l.quality AS lab__quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS LAST, d.doc_id")
 block("distinct", lambda: _pick(E, E.event_type) | o.distinct(), "SELECT DISTINCT event_type FROM events")
 block("distinct_on_sorted", lambda: _pick(E, E.user_id, E.event_id, E.event_type) | o.distinct_on(E.user_id) | o.desc_sort(E.event_id), "SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, event_id DESC")
 block("distinct_on_nested_limit", lambda: _pick(O_, O_.o_custkey, O_.o_orderkey) | o.distinct_on(O_.o_custkey) | o.desc_sort(O_.o_orderkey) | o.limit(20), "SELECT o_custkey, o_orderkey FROM (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey DESC) ORDER BY o_orderkey DESC LIMIT 20")
@@ -223,7 +223,7 @@ def _(spark, sf_dir, cat):
 # mini-languages
 block("filter_dsl_and", lambda: _pick(P, P.p_partkey) | filters.as_where(P.p_size, "and(gte(5),lte(10))"), "SELECT p_partkey FROM part WHERE p_size >= 5 AND p_size <= 10")
 block("filter_dsl_or_where", lambda: _pick(P, P.p_partkey) | filters.compose({"part.brand": P.p_brand, "part.size": P.p_size}, 'or(where("part.brand",prefix("Brand#1")),where("part.size",in(1,2,3,4)))').operator(), "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR p_size IN (1, 2, 3, 4)")
-block("filter_dsl_in_prefix", lambda: _pick(P, P.p_partkey) | filters.indexed_filters(P, "part")["part~pBrand" if False else next(k for k in filters.indexed_filters(P, "part") if "rand" in k.lower())]('or(prefix("Brand#2"),suffix("5"),in("Brand#11"))'), "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#2%' OR p_brand LIKE '%5' OR p_brand IN ('Brand#11')")
+block("filter_dsl_in_prefix", lambda: _pick(P, P.p_partkey) | filters.indexed_filters(P, "part")["part~pBrand"]('or(prefix("Brand#2"),suffix("5"),in("Brand#11"))'), "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#2%' OR p_brand LIKE '%5' OR p_brand IN ('Brand#11')")
 block("filter_dsl_intersection", lambda: _pick(P, P.p_partkey) | filters.as_where(P.p_size, "intersection(in(1,2,3,4),in(3,4,5),neq(-4))"), "SELECT p_partkey FROM part WHERE p_size IN (3, 4)")
 block("sort_dsl", lambda: _pick(O_, O_.o_orderkey) | sorts.By.parse("order~key!desc").operator({"order~key": O_.o_orderkey}) | o.limit(5), "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5")
 
@@ -283,9 +283,11 @@ def _(spark, sf_dir, cat):
 
 
 # keyed sets, codecs, migration
-@query("one_to_multi", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("one_to_multi", "SELECT o_custkey, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey")
 def _(spark, sf_dir, cat):
-    return one_to_multi(cat.frame(O_).select("o_custkey", "o_orderkey"), "o_custkey").select("o_custkey", F.size("records").cast("long").alias("n"))
+    out = one_to_multi(cat.frame(O_).select("o_custkey", "o_orderkey"), "o_custkey")
+    keys = F.array_sort(F.transform("records", lambda r: r["o_orderkey"]))
+    return out.select("o_custkey", F.size("records").cast("long").alias("n"), F.array_join(keys, ",").alias("keys"))
 
 
 @query("first_records", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -332,3 +334,5 @@ def _flagship() -> Block:
 
 
 block("entry", _flagship, "SELECT c_mktsegment, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 WHERE o_orderstatus = 'O' GROUP BY c_mktsegment ORDER BY total DESC LIMIT 10")
+
+from millrace import queries_api  # noqa: E402, F401  registers the rest

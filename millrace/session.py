@@ -1,22 +1,26 @@
-"""Sessions: a catalog whose tables are versions in a folder; a commit writes a version and then names it the current one."""
+"""Sessions: a catalog whose tables are versions in a folder; a commit writes versions, then one file that names them the current ones."""
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, unquote, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.errors import NotFound, RolledBack
-from millrace.model import Catalog, Model
+from millrace.errors import Conflict, NotFound, RolledBack
+from millrace.model import Catalog, Model, from_json, to_json
 from millrace.operators.mutations import apply, check_unique
 from millrace.plans import Block
 
 _registry: dict[str, str] = {}
 _sessions: dict[str, Session] = {}
+_scoped: ContextVar[dict[str, Session]] = ContextVar("sessions", default={})
 
 
 @dataclass
@@ -52,10 +56,15 @@ class Endpoint:
 
 
 class Session:
-    """Tables under ``folder``/table/version, read through ``catalog``. A version is named by a one-line file beside it."""
+    """Tables under ``folder``/table/version, read through ``catalog``.
+
+    A commit is one file, _commits/number, that names every table's current version and its model; it is created
+    exclusively and number by number. So a transaction's tables become current together, and of two writers that began
+    from the same state the second fails with Conflict if they changed the same table, and follows the first otherwise.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, catalog: Catalog, name: str = ""):
-        self.spark, self.folder, self.name, self.staged = spark, folder.rstrip("/"), name, None
+        self.spark, self.folder, self.name, self.staged, self.began = spark, folder.rstrip("/"), name, None, None
         self.catalog = Catalog().add(*catalog.tables())
         for m in self.catalog.models.values():
             self.catalog.bind(m.table, lambda m=m: self.read(m))
@@ -65,13 +74,30 @@ class Session:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _state(self) -> tuple[int, dict[str, dict]]:
+        """Number and content of the last commit, {table: {version, model}}; one that a crash left unfinished does not count."""
+        path, fs = self._path(f"{self.folder}/_commits")
+        numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), reverse=True) if fs.exists(path) else []
+        for n in numbers:
+            stream = fs.open(self._path(f"{self.folder}/_commits/{n:012d}")[0])
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            try:
+                return numbers[0], json.loads(text)
+            except ValueError:
+                continue
+        return (numbers[0] if numbers else 0), {}
+
     def version(self, table: str) -> str | None:
         if self.staged is not None and table in self.staged:
-            return self.staged[table]
-        path, fs = self._path(f"{self.folder}/{table}")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        marks = sorted(n for n in names if re.fullmatch(r"\d{12}\.[0-9a-f]{32}\.current", n))
-        return marks[-1].removesuffix(".current") if marks else None
+            return self.staged[table]["version"]
+        return (self.began[1] if self.began else self._state()[1]).get(table, {}).get("version")
+
+    def stored(self) -> Catalog:
+        """The models that the tables were last written with: columns, defaults, keys."""
+        return Catalog.of(*[from_json(x["model"]) for x in self._state()[1].values()])
 
     def read(self, model: Model) -> DataFrame:
         version = self.version(model.table)
@@ -80,40 +106,69 @@ class Session:
         return self.spark.read.parquet(f"{self.folder}/{model.table}/{version}")
 
     def write(self, model: Model, df: DataFrame) -> None:
-        last = self.version(model.table)
-        version = f"{int(last[:12]) + 1 if last else 1:012d}.{uuid.uuid4().hex}"
+        began = self.began or self._state()
+        version = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/{model.table}/{version}")
         check_unique(self.spark.read.parquet(f"{self.folder}/{model.table}/{version}"), model)
+        self._set(model, version, began)
+
+    def _set(self, model: Model, version: str, began: tuple[int, dict]) -> None:
+        change = {model.table: {"version": version, "model": to_json(model)}}
         if self.staged is not None:
-            self.staged[model.table] = version
+            self.staged.update(change)
         else:
-            self._publish(model.table, version)
-
-    def _publish(self, table: str, version: str) -> None:
-        path, fs = self._path(f"{self.folder}/{table}/{version}.current")
-        fs.create(path, False).close()
+            self._publish(change, began[1])
+
+    def remodel(self, model: Model) -> None:
+        """Another model (keys, comments) for a table whose rows stay; its unique keys must hold."""
+        began = self.began or self._state()
+        check_unique(self.read(model), model)
+        self._set(model, self.version(model.table), began)
+
+    def _publish(self, changes: dict[str, dict], began: dict[str, dict]) -> None:
+        exists = "FileAlreadyExistsException"
+        while True:
+            number, now = self._state()
+            for table in changes:
+                if now.get(table, {}).get("version") != began.get(table, {}).get("version"):
+                    raise Conflict(f"{table} was changed by another commit")
+            path, fs = self._path(f"{self.folder}/_commits/{number + 1:012d}")
+            try:
+                out = fs.create(path, False)
+            except Py4JJavaError as e:
+                if exists in str(e.java_exception):
+                    continue
+                raise
+            out.write(json.dumps(now | changes).encode())
+            out.close()
+            return
 
     def commit(self, block: Block | None, now=None) -> DataFrame | None:
         """No block, no statement. The rows affected are those of the version read, so they stay readable."""
         if block is None:
             return None
-        out = apply(self.read(block.model), block, self.catalog, now)
-        self.write(block.model, out.after)
+        alone = self.began is None
+        self.began = self.began or self._state()
+        try:
+            out = apply(self.read(block.model), block, self.catalog, now)
+            self.write(self.catalog.models.get(block.model.table, block.model), out.after)
+        finally:
+            if alone:
+                self.began = None
         return out.affected
 
     def tx(self, do: Callable[[Session], None]) -> None:
         """Versions become current together at the end, or not at all; a transaction within another is part of it."""
         if self.staged is not None:
             return do(self)
-        self.staged = {}
+        self.staged, self.began = {}, self._state()
         try:
             do(self)
-            done, self.staged = self.staged, None
-        except Exception:
-            self.staged = None
-            raise
-        for table, version in done.items():
-            self._publish(table, version)
+            done, began = self.staged, self.began
+        finally:
+            self.staged = self.began = None
+        if done:
+            self._publish(done, began[1])
 
     @property
     def in_tx(self) -> bool:
@@ -123,12 +178,46 @@ class Session:
         raise RolledBack(self.name)
 
 
+class ReadOnlySplit:
+    """Reads from one session, writes and transactions (with their reads) in another."""
+
+    def __init__(self, writer: Session, reader: Session):
+        self.writer, self.reader, self.name = writer, reader, writer.name
+        _sessions[writer.name] = self
+
+    @property
+    def catalog(self) -> Catalog:
+        return (self.writer if self.writer.in_tx else self.reader).catalog
+
+    def read(self, model: Model) -> DataFrame:
+        return (self.writer if self.writer.in_tx else self.reader).read(model)
+
+    def __getattr__(self, name: str):
+        return getattr(self.__dict__["writer"], name)
+
+
+@contextmanager
+def injected(session: Session | ReadOnlySplit) -> Iterator[None]:
+    """The session of its name in this context, before any registered one."""
+    token = _scoped.set({**_scoped.get(), session.name: session})
+    try:
+        yield
+    finally:
+        _scoped.reset(token)
+
+
+def from_context(name: str) -> Session | ReadOnlySplit | None:
+    return _scoped.get().get(name)
+
+
 def register_catalog(name: str, catalog: Catalog) -> None:
     _registry.update(dict.fromkeys(catalog.names(), name))
 
 
 def session_for(name_or_model: str | Model) -> Session:
     name = name_or_model if isinstance(name_or_model, str) else _registry.get(name_or_model.table, "")
+    if (found := from_context(name)) is not None:
+        return found
     if name not in _sessions:
         raise NotFound(f"no session {name!r}")
     return _sessions[name]
@@ -158,7 +247,7 @@ class Database:
         return self.session
 
     def run(self, current: Catalog | None = None) -> dict:
-        """Migrates from ``current``, the catalog that the tables were written with."""
+        """Migrates from ``current``, else from the models that the tables were written with."""
         from millrace.migrate import migrate
 
-        return migrate(self.session, current or Catalog(), self.catalog) if self.enable_migrate else {}
+        return migrate(self.session, current or self.session.stored(), self.catalog) if self.enable_migrate else {}

@@ -76,6 +76,11 @@ def insert_from(block: Block, model: Model, *columns: Col, catalog: Catalog) ->
     return compile_block(block, catalog).toDF(*[c.name for c in columns or model.cols()])
 
 
+def to_jdbc(df: DataFrame, model: Model, url: str, mode: str = "append", **options: Any) -> None:
+    """Writes rows to a table of a database that Spark has a driver for."""
+    df.select(*[c.name for c in model.live_columns() if c.name in df.columns]).write.jdbc(url, model.table, mode, {k: str(v) for k, v in options.items()})
+
+
 def jdbc(spark: SparkSession, model: Model, url: str, **options: Any) -> Block:
     """A table of a database that Spark has a driver for."""
     return from_frame(model, spark.read.jdbc(url, model.table, properties={k: str(v) for k, v in options.items()}))

@@ -78,6 +78,42 @@ def parse_timestamp(c: Column, layouts: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:s
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(x)) for x in layouts])
 
 
+#: Layouts that parse_any() tries, and the one that format_any() writes: (layout, zone).
+supported_layouts: list[tuple[str, str]] = [("yyyy-MM-dd'T'HH:mm:ssXXX", "UTC"), ("yyyy-MM-dd HH:mm:ss", "UTC"), ("yyyy-MM-dd", "UTC")]
+output_layout: list[tuple[str, str]] = [("yyyy-MM-dd'T'HH:mm:ssXXX", "UTC")]
+
+
+def add_supported_layout(layout: str, zone: str = "UTC") -> None:
+    if (layout, zone) not in supported_layouts:
+        supported_layouts.append((layout, zone))
+
+
+def set_output_layout(layout: str, zone: str = "UTC") -> None:
+    output_layout[0] = (layout, zone)
+
+
+def parse_any(c: Column) -> Column:
+    """By the first supported layout that fits; one without an offset is in its own zone."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(x)) if "X" in x else F.to_utc_timestamp(F.try_to_timestamp(c, F.lit(x)), z) for x, z in supported_layouts])
+
+
+def format_any(ts: Column) -> Column:
+    layout, zone = output_layout[0]
+    return F.date_format(F.from_utc_timestamp(ts, zone), layout)
+
+
+def year(ts: Column) -> Column:
+    return F.year(ts)
+
+
+def month(ts: Column) -> Column:
+    return F.month(ts)
+
+
+def day(ts: Column) -> Column:
+    return F.dayofmonth(ts)
+
+
 def format_timestamp(ts: Column, layout: str = "yyyy-MM-dd'T'HH:mm:ss'+08:00'", zone: str = "Asia/Shanghai") -> Column:
     return F.date_format(F.from_utc_timestamp(ts, zone), layout)
 

@@ -14,7 +14,7 @@ from millrace.operators import mutations as m
 from millrace.plans import compile_block, safe_projected
 from millrace.session import Endpoint, Session, register_catalog, session_for
 from millrace.sorts import By
-from millrace.sources import as_, from_, from_all, value_omit_zero, values, values_omit
+from millrace.sources import as_, from_, from_all, from_frame, value_omit_zero, values, values_omit
 from millrace.streaming import stream
 
 USER = Model(
@@ -206,3 +206,98 @@ def test_database_migrates_its_tables(spark, tmp_path):
     session = moved.init(spark)
     assert [a.kind for a in moved.run(Catalog.of(old))["t_item"]] == ["rename column", "add column"]
     assert session.read(new).first().asDict() == {"f_id": 1, "f_title": "x", "f_rank": 3}
+
+
+def test_two_writers_of_a_table_conflict_and_of_two_do_not(spark, tmp_path):
+    other = Model.of("t_other", "f_id long")
+    a, b = (Session(spark, str(tmp_path), Catalog.of(USER, other), n) for n in ("a", "b"))
+    row = [{"f_name": "x", "f_age": 1, "f_deleted_at": 0}]
+    a.commit(values(spark, USER, row))
+
+    def both(t):
+        t.commit(from_(USER) | m.do_delete_hard())
+        b.commit(values(spark, USER, [{"f_name": "y", "f_age": 2, "f_deleted_at": 0}]))
+
+    with pytest.raises(Conflict):
+        a.tx(both)
+    assert sorted(r.f_name for r in a.read(USER).collect()) == ["x", "y"]
+
+    def apart(t):
+        t.commit(values(spark, other, [{"f_id": 7}]))
+        b.commit(from_(USER) | o.where(USER.f_name, f.eq("y")) | m.do_delete_hard())
+
+    a.tx(apart)
+    assert [r.f_name for r in b.read(USER).collect()] == ["x"] and b.read(other).count() == 1
+
+
+def test_a_commit_that_broke_off_does_not_count(spark, tmp_path):
+    s = Session(spark, str(tmp_path), Catalog.of(USER), "c")
+    s.commit(values(spark, USER, [{"f_name": "x", "f_age": 1, "f_deleted_at": 0}]))
+    (tmp_path / "_commits" / f"{2:012d}").write_text("{")
+    assert s.read(USER).count() == 1
+    s.commit(values(spark, USER, [{"f_name": "y", "f_age": 1, "f_deleted_at": 0}]))
+    assert s.read(USER).count() == 2
+
+
+def test_read_split_and_scoped_sessions(spark, tmp_path):
+    from millrace.session import ReadOnlySplit, from_context, injected
+
+    writer, reader = Session(spark, str(tmp_path / "w"), Catalog.of(USER), "split"), Session(spark, str(tmp_path / "r"), Catalog.of(USER), "replica")
+    both = ReadOnlySplit(writer, reader)
+    both.commit(values(spark, USER, [{"f_name": "x", "f_age": 1, "f_deleted_at": 0}]))
+    assert both.read(USER).count() == 0 and writer.read(USER).count() == 1
+    seen = []
+    both.tx(lambda t: seen.append(both.read(USER).count()))
+    assert seen == [1] and session_for("split") is both and from_context("split") is None
+    with injected(writer):
+        assert session_for("split") is writer
+    assert session_for("split") is both
+
+
+def test_stamps_and_stable_numbers(spark):
+    model = Model("t_s", (Col("f_id", "long", autoincrement=True), Col("f_v", "string"), Col("f_c", "long"), Col("f_u", "long")), created="f_c", updated="f_u")
+    target = spark.createDataFrame([(4, "a", 1, 1)], model.schema())
+    rows = spark.createDataFrame([(f"v{i}", 5 if i == 3 else 0) for i in range(50)], "f_v string, f_c long")
+    first, again = (m.insert(target, rows.repartition(n), model, now=9).affected.orderBy("f_v").collect() for n in (1, 7))
+    assert first == again and sorted(r.f_id for r in first) == list(range(5, 55))
+    assert {(r.f_c, r.f_u) for r in first} == {(9, 9), (5, 9)}
+
+
+def test_introspection_keeps_keys_and_defaults(spark):
+    from millrace.migrate import create_sql, diff, drop_sql, index_sql, introspect, introspect_all
+    from millrace.model import unique_index
+
+    model = Model("t_intro", (Col("f_id", "long"), Col("f_n", "string", default="it's")), keys=(primary_key("f_id"), unique_index("i_n", "f_n")))
+    spark.sql(create_sql(model))
+    try:
+        assert diff(introspect(spark, "t_intro"), model) == []
+        spark.sql(index_sql(model, drop="i_n"))
+        assert [a.kind for a in diff(introspect_all(spark).models["t_intro"], model)] == ["add index"]
+    finally:
+        spark.sql(drop_sql(model))
+
+
+def test_fragments():
+    from millrace import fragments as g
+
+    assert g.collect(g.pair("a = ? AND b IN (?)", 1, g.values([1, "x"]))) == "a = 1 AND b IN (1, 'x')"
+    assert g.collect(g.join_values(" AND ", g.const("a"), None, g.empty(), g.inline_block(g.const("b")))) == "a AND (b)"
+    assert g.collect(g.block(g.const("a\nb"))) == "(\n\ta\n\tb\n)" and g.is_nil(g.block(None)) and g.is_nil(g.block_without_brackets([]))
+    assert g.collect(g.block_without_brackets([g.const("a"), g.const("b")])) == "\n\ta,\nb\n"
+    assert list(g.map_([1, 2], lambda i: g.const("x") if i > 1 else None)) == [g.const("x")]
+    assert g.collect(g.pair("p = ?", g.Custom("unhex(?)", "41"))) == "p = unhex('41')"
+    assert g.collect(None) == "" and g.collect(g.join(", ", [])) == ""
+
+
+def test_views_are_not_left_behind(spark):
+    from millrace.operators.cte import with_recursive
+
+    spark.range(3).createOrReplaceTempView("mine")
+    out = with_recursive(spark, "r", ["id", "d"], "SELECT id, 0 FROM mine WHERE id = 9 UNION ALL SELECT m.id, r.d + 1 FROM mine m JOIN r ON m.id = r.id + 1", "SELECT * FROM r", {"mine": spark.range(9, 12)})
+    assert sorted(map(tuple, out.collect())) == [(9, 0), (10, 1), (11, 2)] and spark.table("mine").count() == 3
+    spark.catalog.dropTempView("mine")
+    quoted = Model("odd", (Col("a b", "long"),))
+    sub = from_frame(quoted, spark.createDataFrame([(2,)], "`a b` long")) | o.where(quoted["a b"], f.gt(0))
+    df = compile_block(from_frame(quoted, spark.createDataFrame([(1,), (2,)], "`a b` long")) | o.where_in_select(quoted["a b"], quoted["a b"], sub), Catalog())
+    assert [r[0] for r in df.collect()] == [2]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("__millrace")]
