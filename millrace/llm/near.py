@@ -132,13 +132,14 @@ def _length_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
 
 
-def prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b), each pair once: classes of tokens(key, c, n, token) of different components c that may be linked.
+def prefix_keys(tokens: DataFrame, percent: int) -> DataFrame:
+    """(at, side, key, c): where classes of tokens(key, c, n, token), c their component, may meet one of another component.
 
     Two sets linked at the threshold have a number of shingles in common that their sizes tell, so among as many of the
     rarest of each as may be missing, and one more, there is a common one. Classes meet by those, in an order by how
     many classes have a shingle, apart for each pair of length classes, for then the bound is as tight as for known
     sizes: what many texts have in common (a template) is met last, and does not bring them together unless it makes them alike.
+    side: 0 among texts of one length class; else -1 or 1, for texts of the shorter and the longer one, who meet each other.
     """
     known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("df > 1")
     known = known.select(F.col("token").alias("t"), "df", (F.col("x") != F.col("y")).alias("mixed"))
@@ -149,12 +150,27 @@ def prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     # so many shingles in common at least with any text of that class; those no other text has come first
     shared = F.ceil((F.col("n") + F.floor(F.pow(F.lit(CLASS), F.col("theirs")))) * percent / (100 + percent))
     first = F.greatest(F.col("n") - shared + 1 - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
-    # side: 0 among texts of one length class; else -1 or 1, for texts of the shorter and the longer one
     keyed = lists.select("key", "c", F.least("own", "theirs").alias("lo"), F.greatest("own", "theirs").alias("hi"), F.signum(F.col("own") - F.col("theirs")).cast("int").alias("side"), F.explode(F.slice("known", F.lit(1), first)).alias("k")).where("k.mixed")
-    keyed = keyed.select("key", "c", "side", F.xxhash64("k.token", "lo", "hi").alias("at")).distinct()
-    met = keyed.groupBy("at").agg(F.min("c").alias("hub"), F.max("c").alias("y"), F.min("side").alias("s"), F.max("side").alias("t")).where("hub <> y AND (s = 0 OR s <> t)").select("at", "hub")
-    keyed = written(keyed.join(met, "at"), "prefixes")
-    q, m = keyed.where("c <> hub").alias("q"), keyed.alias("m")
+    return keyed.select(F.xxhash64("k.token", "lo", "hi").alias("at"), "side", "key", "c").distinct()
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """keyed with the least component at its place, where that is not the only one."""
+    met = keyed.groupBy("at").agg(F.min("c").alias("hub"), F.max("c").alias("y"), F.min("side").alias("s"), F.max("side").alias("t")).where("hub <> y AND (s = 0 OR s <> t)")
+    return keyed.join(met.select("at", "hub"), "at")
+
+
+def star_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b), each once: every class with the least one that it meets at a place, if that is of another component."""
+    hubs = keyed.groupBy("at", "side").agg(F.min(F.struct("key", "c")).alias("h")).select(F.col("at").alias("h_at"), (-F.col("side")).alias("h_side"), "h")
+    met = keyed.join(hubs, (F.col("at") == F.col("h_at")) & (F.col("side") == F.col("h_side")) & (F.col("c") != F.col("h.c")))
+    return met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
+
+
+def cross_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b), each once: all that meet and are of different components."""
+    mixed = _mixed(keyed)
+    q, m = mixed.where("c <> hub").alias("q"), mixed.alias("m")
     pairs = q.join(m, (F.col("q.at") == F.col("m.at")) & (F.col("q.side") == -F.col("m.side")) & (F.col("q.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.hub")) | (F.col("q.key") < F.col("m.key"))))
     return pairs.select(F.least("q.key", "m.key").alias("a"), F.greatest("q.key", "m.key").alias("b")).distinct()
 
@@ -194,21 +210,24 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     shingles = F.arrow_udf(lambda text: pa.array([hashed(t).view(np.int64) for t in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64())), T.ArrayType(T.LongType()))
     tokens = texts.join(known, F.col("key") == F.col("k")).select("key", "c", shingles("text").alias("tokens"))
     tokens = written(tokens.select("key", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
-    pairs = written(prefix_pairs(tokens, percent), "pairs")
+    keyed = written(_mixed(prefix_keys(tokens, percent)).drop("hub"), "prefixes")
     finer = F.arrow_udf(lambda text: fine(text.cast(pa.binary()).to_pylist()), T.ArrayType(T.LongType()))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    ends = keyed.select(F.col("key").alias("k")).distinct()
     sharp = texts.join(ends, F.col("key") == F.col("k"), "left_semi").select("key", finer("text").alias("sketch"))
     sharp = written(sharp.join(classes.select("key", "n"), "key"), "sharp")
-    more = confirmed(possible(pairs, sharp, FINE_SAMPLES, FINE_BITS))
+    # first the least of each place with the others there, which connects most of what is alike; then what is still apart
+    stars = confirmed(possible(star_pairs(keyed), sharp, FINE_SAMPLES, FINE_BITS))
+    joined = written(components(links.union(stars)), "labels")
+    now = keyed.join(joined, F.col("key") == F.col("node"), "left").select("at", "side", "key", F.coalesce("component", "c").alias("c"))
+    more = confirmed(possible(cross_pairs(now), sharp, FINE_SAMPLES, FINE_BITS))
 
-    label = components(links.union(more)).withColumnsRenamed({"node": "k", "component": "c"})
+    label = components(links.union(stars).union(more)).withColumnsRenamed({"node": "k", "component": "c"})
     named = written(classes.select("key", F.col("pick.id").alias("id")).join(label, F.col("key") == F.col("k"), "left").select("key", "id", F.coalesce("c", "key").alias("c")), "named")
     least = named.groupBy("c").agg(F.min(F.struct("id", "key")).alias("least"))
     named = named.join(least.withColumnRenamed("c", "__c"), F.col("c") == F.col("__c")).select(F.col("key").alias("k"), "least")
     out = signed.select("id", "th", "n", "key").join(named, F.col("key") == F.col("k"), "left")
     done = written(out.select("id", "th", "n", "key", F.when(F.col("id").isNotNull(), F.col("least")).alias("least")), "groups")
-    for t in (signed, classes, members, texts, links, tokens, pairs, sharp, more):
-        forget(t)
+    forget(signed, classes, members, texts, links, tokens, keyed, sharp, stars, joined, more)
     return done
 
 
@@ -217,8 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Texts with equal shingle sets are one class. Classes that share a band meet in two rounds. First each is compared
     with the smallest of its band only: groups of near copies become stars. Then, in bands whose members are not all
-    connected yet, those of different components are compared where the prefix join lets them meet, see prefix_pairs():
-    every pair that shares a band is thus compared, ruled out or already connected, and neither a dense group's pairs
+    connected yet, those of different components are compared where the prefix join lets them meet, see prefix_keys(),
+    stars first here too: every pair that shares a band is thus compared, ruled out or already connected, and neither a dense group's pairs
     nor those of texts that share a template are ever listed. Odd sketches rule pairs out; what they let pass is
     confirmed on the full sets.
 

@@ -96,7 +96,7 @@ def test_a_template_does_not_list_its_pairs(spark):
     """Texts alike at 0.7 share bands by the thousand, but no prefix; two near copies among them are found."""
     from pyspark.sql import types as T
 
-    from millrace.llm.near import prefix_pairs
+    from millrace.llm.near import cross_pairs, prefix_keys, star_pairs
     from millrace.llm.shingles import hashed
 
     rng = random.Random(4)
@@ -106,5 +106,7 @@ def test_a_template_does_not_list_its_pairs(spark):
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType())])
     sets = [(i, hashed(t.encode()).view("int64").tolist()) for i, t in rows]
     tokens = spark.createDataFrame([(i, i, len(s), x) for i, s in sets for x in s], schema)
-    assert [tuple(r) for r in prefix_pairs(tokens, 85).collect()] == [(70, 5000)] == [tuple(r) for r in prefix_pairs(tokens, 80).collect()]
+    for percent in (85, 80):
+        keyed = prefix_keys(tokens, percent)
+        assert [tuple(r) for r in star_pairs(keyed).collect()] == [(70, 5000)] == [tuple(r) for r in cross_pairs(keyed).collect()]
     check(spark, rows, 85)
