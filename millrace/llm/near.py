@@ -26,6 +26,8 @@ BROADCAST_IDS = 1_000_000
 
 #: Lengths within this factor of each other share a class of the prefix join.
 CLASS = 1.04
+#: Classes at a place that are compared before all that are still apart are.
+GROUP = 16
 
 SIGN = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
@@ -167,6 +169,20 @@ def star_pairs(keyed: DataFrame) -> DataFrame:
     return met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct()
 
 
+def group_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b), each once: classes of different components that meet at a place, and there fall into one group.
+
+    A place of up to GROUP classes is one group; larger ones are dealt by a hash, at each place in another way. So the pairs
+    grow with the classes, not with their square, and connect most of a crowd of which some pairs only are links.
+    """
+    sizes = keyed.groupBy("at").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("at", "s_at")
+    group = F.pmod(F.xxhash64("key", "at"), F.ceil(F.col("size") / GROUP))
+    dealt = keyed.join(sizes, F.col("at") == F.col("s_at")).select("at", group.alias("g"), "side", "key", "c")
+    q, m = dealt.alias("q"), dealt.alias("m")
+    met = q.join(m, (F.col("q.at") == F.col("m.at")) & (F.col("q.g") == F.col("m.g")) & (F.col("q.side") == -F.col("m.side")) & (F.col("q.c") != F.col("m.c")) & (F.col("q.key") < F.col("m.key")))
+    return met.select(F.col("q.key").alias("a"), F.col("m.key").alias("b")).distinct()
+
+
 def cross_pairs(keyed: DataFrame) -> DataFrame:
     """(a, b), each once: all that meet and are of different components."""
     mixed = _mixed(keyed)
@@ -215,19 +231,19 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     ends = keyed.select(F.col("key").alias("k")).distinct()
     sharp = texts.join(ends, F.col("key") == F.col("k"), "left_semi").select("key", finer("text").alias("sketch"))
     sharp = written(sharp.join(classes.select("key", "n"), "key"), "sharp")
-    # first the least of each place with the others there, which connects most of what is alike; then what is still apart
-    stars = confirmed(possible(star_pairs(keyed), sharp, FINE_SAMPLES, FINE_BITS))
-    joined = written(components(links.union(stars)), "labels")
+    # first the least of each place with the others there, and small groups, which connect most of what is alike; then what is still apart
+    near_by = confirmed(possible(star_pairs(keyed).union(group_pairs(keyed)).distinct(), sharp, FINE_SAMPLES, FINE_BITS))
+    joined = written(components(links.union(near_by)), "labels")
     now = keyed.join(joined, F.col("key") == F.col("node"), "left").select("at", "side", "key", F.coalesce("component", "c").alias("c"))
     more = confirmed(possible(cross_pairs(now), sharp, FINE_SAMPLES, FINE_BITS))
 
-    label = components(links.union(stars).union(more)).withColumnsRenamed({"node": "k", "component": "c"})
+    label = components(links.union(near_by).union(more)).withColumnsRenamed({"node": "k", "component": "c"})
     named = written(classes.select("key", F.col("pick.id").alias("id")).join(label, F.col("key") == F.col("k"), "left").select("key", "id", F.coalesce("c", "key").alias("c")), "named")
     least = named.groupBy("c").agg(F.min(F.struct("id", "key")).alias("least"))
     named = named.join(least.withColumnRenamed("c", "__c"), F.col("c") == F.col("__c")).select(F.col("key").alias("k"), "least")
     out = signed.select("id", "th", "n", "key").join(named, F.col("key") == F.col("k"), "left")
     done = written(out.select("id", "th", "n", "key", F.when(F.col("id").isNotNull(), F.col("least")).alias("least")), "groups")
-    forget(signed, classes, members, texts, links, tokens, keyed, sharp, stars, joined, more)
+    forget(signed, classes, members, texts, links, tokens, keyed, sharp, near_by, joined, more)
     return done
 
 
@@ -237,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Texts with equal shingle sets are one class. Classes that share a band meet in two rounds. First each is compared
     with the smallest of its band only: groups of near copies become stars. Then, in bands whose members are not all
     connected yet, those of different components are compared where the prefix join lets them meet, see prefix_keys(),
-    stars first here too: every pair that shares a band is thus compared, ruled out or already connected, and neither a dense group's pairs
+    stars and small groups first: every pair that shares a band is thus compared, ruled out or already connected, and neither a dense group's pairs
     nor those of texts that share a template are ever listed. Odd sketches rule pairs out; what they let pass is
     confirmed on the full sets.
 

@@ -110,3 +110,16 @@ def test_a_template_does_not_list_its_pairs(spark):
         keyed = prefix_keys(tokens, percent)
         assert [tuple(r) for r in star_pairs(keyed).collect()] == [(70, 5000)] == [tuple(r) for r in cross_pairs(keyed).collect()]
     check(spark, rows, 85)
+
+
+def test_groups_of_a_crowded_place(spark):
+    """A place of 400 classes is met in groups: pairs grow with the classes, and each is one that cross_pairs() lists."""
+    from millrace.llm.near import GROUP, cross_pairs, group_pairs
+
+    crowd = spark.range(400).selectExpr("1L AS at", "0 AS side", "id AS key", "id AS c")
+    few = spark.createDataFrame([(2, -1, 500, 500), (2, 1, 501, 501), (2, 1, 502, 500)], "at long, side int, key long, c long")
+    keyed = crowd.union(few)
+    met, all_ = ({tuple(r) for r in f(keyed).collect()} for f in (group_pairs, cross_pairs))
+    assert met <= all_ and len(all_) == 400 * 399 // 2 + 1
+    assert (500, 501) in met and (500, 502) not in met
+    assert 400 <= len(met) <= 2 * 400 * GROUP
