@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import forget, table, written
 
 BITS = 20
 #: Besides whole words, their first so many bytes are features: inflected forms share them.
@@ -23,8 +24,10 @@ MAX_LABELLED = 10_000
 KEEP = 0.5
 #: Slots whose weights would be shrunk to less than this have none: held-out results are the same, in half the time.
 LEAST = 0.01
-#: Entries of the labelled documents that a step of the fit handles at once.
+#: Entries of the labelled documents that the fit handles at once.
 CHUNK = 1 << 20
+#: The labelled documents' entries reach the driver in so many parts, one after the other.
+PARTS = 16
 
 SCORE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("p_top", T.DoubleType())])
 
@@ -64,6 +67,16 @@ def features(text: bytes | None) -> set[int]:
     return slots
 
 
+def _runs(rows: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, rows) of runs of rows with about CHUNK entries."""
+    first, total = 0, 0
+    for i, r in enumerate(rows, 1):
+        total += len(r)
+        if total >= CHUNK or i == len(rows):
+            yield first, rows[first:i]
+            first, total = i, 0
+
+
 def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int = 250, decay: float = 0.1, prior: float = 2.0, z: float = 3.5, power: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of P(grade <= k) = logistic(thresholds[k] - sum of weights), by penalised likelihood.
 
@@ -76,19 +89,23 @@ def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int
     weights = np.zeros(1 << BITS)
     if not rows:
         return weights, np.arange(n_grades - 1) - 50.0
-    sizes = np.array([len(r) for r in rows])
-    slots = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
-    owner, y = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.asarray(grades)
+    y = np.asarray(grades)
     below = y < n_grades - 1
     rate = np.clip(below.mean(), 1e-3, 1 - 1e-3)
-    n, bad = np.bincount(slots, minlength=1 << BITS), np.bincount(slots, below[owner], minlength=1 << BITS)
+    # by chunks: besides the rows and, four bytes each, slot and owner of the entries that take part, the driver never holds more than CHUNK entries
+    n, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for first, run in _runs(rows):
+        n += np.bincount(np.concatenate(run), minlength=1 << BITS)
+        bad += np.bincount(np.concatenate([r for r, ill in zip(run, below[first:]) if ill] or [run[0][:0]]), minlength=1 << BITS)  # noqa: B905
     ease = np.clip(np.abs(bad - n * rate) / (z * np.sqrt((n + prior) * rate * (1 - rate))), 0, 1) ** power
-    used, part = np.flatnonzero(ease > LEAST), ease[slots] > LEAST
-    place = np.zeros(1 << BITS, np.int32)
+    used = np.flatnonzero(ease > LEAST)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    owner, slots = owner[part], place[slots[part]]
-    # by chunks: the driver never holds more than CHUNK weights or gradients at once
-    chunks = [slice(i, i + CHUNK) for i in range(0, len(slots), CHUNK)]
+    chunks = []
+    for first, run in _runs(rows):
+        at = place[np.concatenate(run)]
+        owner = np.repeat(np.arange(first, first + len(run), dtype=np.int32), [len(r) for r in run])
+        chunks.append((at[at >= 0], owner[at >= 0]))
     ease = ease[used]
     share = np.clip(np.cumsum(np.bincount(y, minlength=n_grades))[:-1] / len(y), 1e-3, 1 - 1e-3)
     cut = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-2 * np.arange(n_grades - 1))
@@ -98,14 +115,14 @@ def fit(rows: list[np.ndarray], grades: list[int], n_grades: int = 3, steps: int
         own, raw = par[: len(used)], par[len(used) :]
         w = ease * own
         cuts = np.concatenate([[-np.inf], raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]), [np.inf]])
-        s = sum((np.bincount(owner[c], w[slots[c]], minlength=len(rows)) for c in chunks), np.zeros(len(rows)))
+        s = sum((np.bincount(owner, w[at], minlength=len(rows)) for at, owner in chunks), np.zeros(len(rows)))
         with np.errstate(over="ignore"):
             hi, lo = 1 / (1 + np.exp(s - cuts[y + 1])), 1 / (1 + np.exp(s - cuts[y]))
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
         dcut = np.bincount(y, dhi, minlength=n_grades)[:-1] - np.bincount(y, dlo, minlength=n_grades)[1:]
         tails = np.cumsum(dcut[::-1])[::-1]
-        pull = sum((np.bincount(slots[c], (dlo - dhi)[owner[c]], minlength=len(used)) for c in chunks), np.zeros(len(used)))
+        pull = sum((np.bincount(at, (dlo - dhi)[owner], minlength=len(used)) for at, owner in chunks), np.zeros(len(used)))
         grad = np.concatenate([pull * ease - decay * own, tails[:1], tails[1:] * np.exp(raw[1:])]) / len(rows)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         par = par + 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -119,9 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, id_col: str = "doc_
     extract = F.arrow_udf(lambda text: pa.array([np.array(sorted(features(t)), np.int32).tobytes() for t in text.cast(pa.binary()).to_pylist()], pa.binary()), T.BinaryType())
     chosen = labels.select(F.col(id_col).alias("__id"), grade.cast("int").alias("grade")).dropna().orderBy(F.xxhash64("__id"), "grade").limit(most)
     got = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(extract(text_col).alias("f"), "grade")
-    # copies count once, before anything is sent; of an id with many texts no more than ``most`` rows in all come
-    once = sorted((bytes(r.f), r.grade) for r in got.distinct().orderBy(F.xxhash64("f"), "grade").limit(most).collect())
-    return fit([np.frombuffer(f, np.int32) for f, _ in once], [g for _, g in once], n_grades)
+    # copies count once, before anything is sent; of an id with many texts no more than ``most`` rows in all come, in parts, for the driver's memory
+    once = written(got.distinct().orderBy(F.xxhash64("f"), "grade").limit(most).repartition(PARTS), "labelled")
+    rows = sorted((bytes(r.f), r.grade) for r in once.toLocalIterator())
+    forget(once)
+    return fit([np.frombuffer(f, np.int32) for f, _ in rows], [g for _, g in rows], n_grades)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", out_col: str = "quality") -> DataFrame:
