@@ -28,6 +28,10 @@ BROADCAST_IDS = 1_000_000
 CLASS = 1.04
 #: Classes at a place that are compared before all that are still apart are.
 GROUP = 16
+#: Where more pairs a class than this are still apart at a place, they meet by their differences from one class there.
+CROWD = 32
+#: Differences are counted by steps of so many.
+STEP = 8
 
 SIGN = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
@@ -135,13 +139,14 @@ def _length_class(n: Column) -> Column:
 
 
 def prefix_keys(tokens: DataFrame, percent: int) -> DataFrame:
-    """(at, side, key, c): where classes of tokens(key, c, n, token), c their component, may meet one of another component.
+    """(at, side, key, c, lo, hi): where classes of tokens(key, c, n, token), c their component, may meet one of another component.
 
     Two sets linked at the threshold have a number of shingles in common that their sizes tell, so among as many of the
     rarest of each as may be missing, and one more, there is a common one. Classes meet by those, in an order by how
     many classes have a shingle, apart for each pair of length classes, for then the bound is as tight as for known
     sizes: what many texts have in common (a template) is met last, and does not bring them together unless it makes them alike.
     side: 0 among texts of one length class; else -1 or 1, for texts of the shorter and the longer one, who meet each other.
+    lo, hi: these classes.
     """
     known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("df > 1")
     known = known.select(F.col("token").alias("t"), "df", (F.col("x") != F.col("y")).alias("mixed"))
@@ -153,7 +158,7 @@ def prefix_keys(tokens: DataFrame, percent: int) -> DataFrame:
     shared = F.ceil((F.col("n") + F.floor(F.pow(F.lit(CLASS), F.col("theirs")))) * percent / (100 + percent))
     first = F.greatest(F.col("n") - shared + 1 - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
     keyed = lists.select("key", "c", F.least("own", "theirs").alias("lo"), F.greatest("own", "theirs").alias("hi"), F.signum(F.col("own") - F.col("theirs")).cast("int").alias("side"), F.explode(F.slice("known", F.lit(1), first)).alias("k")).where("k.mixed")
-    return keyed.select(F.xxhash64("k.token", "lo", "hi").alias("at"), "side", "key", "c").distinct()
+    return keyed.select(F.xxhash64("k.token", "lo", "hi").alias("at"), "side", "key", "c", "lo", "hi").distinct()
 
 
 def _mixed(keyed: DataFrame) -> DataFrame:
@@ -191,6 +196,53 @@ def cross_pairs(keyed: DataFrame) -> DataFrame:
     return pairs.select(F.least("q.key", "m.key").alias("a"), F.greatest("q.key", "m.key").alias("b")).distinct()
 
 
+def crowded_places(keyed: DataFrame) -> DataFrame:
+    """(at, pivot): places where cross_pairs() would list more than CROWD pairs for each class; pivot: the least class there."""
+    mixed = _mixed(keyed)
+    counts = [F.count_if(F.expr(f"side = {side}{more}")).alias(name) for name, side, more in (("a", -1, ""), ("b", 0, ""), ("c", 1, ""), ("x", -1, " AND c <> hub"), ("y", 0, " AND c <> hub"), ("z", 1, " AND c <> hub"))]
+    sizes = mixed.groupBy("at").agg(F.min("key").alias("pivot"), *counts)
+    return sizes.where(f"x * c + y * b + z * a > {CROWD} * (a + b + c)").select("at", "pivot")
+
+
+def delta_keys(keyed: DataFrame, crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(at, side, key, c) of new places, where classes of different components that meet at a place of crowded and are linked meet too.
+
+    Sets differ from each other by as much as their differences from a third one (that of the place's pivot) do. So what a
+    crowd has in common cancels out, and the prefix join is made once more with the differences: two sets linked at the
+    threshold differ by a number of shingles that their sizes limit, so their differences have a number in common that the
+    counts of these tell, and there is a common one among the rarest. That is done apart for each pair of counts, by steps of
+    STEP. Where the counts are so low that nothing need be in common, all of those counts meet at a place of its own.
+    sets: (key, n, tokens); keyed has lo and hi, the length classes of its places.
+    """
+    pivots = sets.select(F.col("key").alias("pivot"), F.col("tokens").alias("ours"))
+    met = keyed.join(crowded.join(pivots, "pivot"), "at").join(sets, "key")
+    x = met.select("at", "side", "key", "c", "n", "lo", "hi", F.array_union(F.array_except("tokens", "ours"), F.array_except("ours", "tokens")).alias("x"))
+    x = x.withColumn("m", F.size("x"))
+    theirs = F.when(F.col("side") < 0, F.col("hi")).otherwise(F.col("lo"))
+    # sizes up to the top of their length class, at which a linked pair differs most
+    differ = F.floor((F.col("n") + F.floor(F.pow(F.lit(CLASS), theirs + 1)) + 1) * (100 - percent) / (100 + percent)).cast("int")
+    x = written(x.withColumn("differ", differ), "differences")
+    each = x.select("at", "key", "c", F.explode("x").alias("token"))
+    known = each.groupBy("at", "token").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("a"), F.max("c").alias("b")).where("df > 1")
+    known = known.select(F.col("at").alias("k_at"), F.col("token").alias("t"), "df", (F.col("a") != F.col("b")).alias("mixed"))
+    lists = each.join(known, (F.col("at") == F.col("k_at")) & (F.col("token") == F.col("t"))).groupBy("at", "key").agg(F.array_sort(F.collect_list(F.struct("df", "token", "mixed"))).alias("known"))
+    lists = x.drop("x").join(lists.withColumnsRenamed({"at": "l_at", "key": "l_key"}), (F.col("at") == F.col("l_at")) & (F.col("key") == F.col("l_key")), "left").withColumn("known", F.coalesce("known", F.array().cast(lists.schema["known"].dataType)))
+    # counts that there are on the other side
+    there = x.select(F.col("at").alias("t_at"), (-F.col("side")).alias("t_side"), F.floor(F.col("m") / STEP).cast("int").alias("theirs")).distinct()
+    lists = lists.withColumn("own", F.floor(F.col("m") / STEP).cast("int")).join(there, (F.col("at") == F.col("t_at")) & (F.col("side") == F.col("t_side")))
+    lists = lists.where("theirs * {0} <= m + differ AND theirs * {0} + {0} > m - differ".format(STEP))
+    shared = F.ceil((F.col("m") + F.col("theirs") * STEP - F.col("differ")) / 2)
+    first = F.greatest(F.size("known") - F.greatest(shared, F.lit(1)) + 1, F.lit(0)).cast("int")
+    chosen = F.transform(F.filter(F.slice("known", F.lit(1), first), lambda k: k["mixed"]), lambda k: k["token"])
+    chosen = F.when(shared < 1, F.array_append(chosen, F.lit(None).cast("long"))).otherwise(chosen)
+    swap = (F.col("side") > 0) | ((F.col("side") == 0) & (F.col("own") > F.col("theirs")))
+    side = F.when(F.col("side") == 0, F.signum(F.col("own") - F.col("theirs")).cast("int")).otherwise(F.col("side"))
+    out = lists.select("at", F.when(swap, F.col("theirs")).otherwise(F.col("own")).alias("low"), F.when(swap, F.col("own")).otherwise(F.col("theirs")).alias("high"), side.alias("side"), "key", "c", F.explode(chosen).alias("token"))
+    out = written(out.select(F.xxhash64("at", "token", "low", "high", F.col("token").isNull()).alias("at"), "side", "key", "c").distinct(), "deltas")
+    forget(x)
+    return out
+
+
 def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, th, n, key, least id and least key of its component, with that id) of each row of docs; th: hash of the text."""
     n_bands = bands_for(percent / 100)
@@ -234,8 +286,17 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     # first the least of each place with the others there, and small groups, which connect most of what is alike; then what is still apart
     near_by = confirmed(possible(star_pairs(keyed).union(group_pairs(keyed)).distinct(), sharp, FINE_SAMPLES, FINE_BITS))
     joined = written(components(links.union(near_by)), "labels")
-    now = keyed.join(joined, F.col("key") == F.col("node"), "left").select("at", "side", "key", F.coalesce("component", "c").alias("c"))
-    more = confirmed(possible(cross_pairs(now), sharp, FINE_SAMPLES, FINE_BITS))
+    now = keyed.join(joined, F.col("key") == F.col("node"), "left").select("at", "side", "key", F.coalesce("component", "c").alias("c"), "lo", "hi")
+    apart = written(_mixed(now).drop("hub"), "apart")
+    crowded = written(crowded_places(apart), "crowded")
+    left, deltas = cross_pairs(apart.join(crowded, "at", "left_anti")), []
+    if not crowded.isEmpty():
+        there = apart.join(crowded, "at", "left_semi").select(F.col("key").alias("k")).distinct()
+        sets = texts.join(there, F.col("key") == F.col("k"), "left_semi").select("key", shingles("text").alias("tokens"))
+        sets = sets.withColumn("n", F.size("tokens"))
+        deltas.append(delta_keys(apart, crowded, sets, percent))
+        left = left.union(cross_pairs(deltas[0])).distinct()
+    more = confirmed(possible(left, sharp, FINE_SAMPLES, FINE_BITS))
 
     label = components(links.union(near_by).union(more)).withColumnsRenamed({"node": "k", "component": "c"})
     named = written(classes.select("key", F.col("pick.id").alias("id")).join(label, F.col("key") == F.col("k"), "left").select("key", "id", F.coalesce("c", "key").alias("c")), "named")
@@ -243,7 +304,7 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     named = named.join(least.withColumnRenamed("c", "__c"), F.col("c") == F.col("__c")).select(F.col("key").alias("k"), "least")
     out = signed.select("id", "th", "n", "key").join(named, F.col("key") == F.col("k"), "left")
     done = written(out.select("id", "th", "n", "key", F.when(F.col("id").isNotNull(), F.col("least")).alias("least")), "groups")
-    forget(signed, classes, members, texts, links, tokens, keyed, sharp, near_by, joined, more)
+    forget(signed, classes, members, texts, links, tokens, keyed, sharp, near_by, joined, apart, crowded, *deltas, more)
     return done
 
 

@@ -123,3 +123,36 @@ def test_groups_of_a_crowded_place(spark):
     assert met <= all_ and len(all_) == 400 * 399 // 2 + 1
     assert (500, 501) in met and (500, 502) not in met
     assert 400 <= len(met) <= 2 * 400 * GROUP
+
+
+def test_a_crowd_around_one_text_does_not_list_its_pairs(spark):
+    """Texts alike at about 0.76, each linked with the one in their middle: by differences they meet that, not each other."""
+    from pyspark.sql import types as T
+
+    from millrace.llm.near import cross_pairs, crowded_places, delta_keys, prefix_keys
+    from millrace.llm.shingles import hashed
+
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghij") + str(i) for i in range(150)]
+    rows = [(900, " ".join(base))]
+    for i in range(300):
+        t = list(base)
+        for j in range(2):
+            at = rng.randrange(5, len(t) - 5)
+            t[at : at + 1] = [[f"x{i}.{j}"], [f"x{rng.randrange(9)}"], [], [t[at], f"x{i}.{j}"]][rng.choice([0, 0, 0, 1, 2, 3])]
+        rows.append((i, " ".join(t)))
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType())])
+    found = {i: hashed(t.encode()).view("int64").tolist() for i, t in rows}
+    tokens = spark.createDataFrame([(i, i, len(s), x) for i, s in found.items() for x in s], schema).localCheckpoint()
+    sets = tokens.groupBy("key", "n").agg(F.collect_list("token").alias("tokens"))
+    known = {i: set(s) for i, s in found.items()}
+    for percent, share in ((85, 4), (80, 1.5)):
+        keyed = prefix_keys(tokens, percent).localCheckpoint()
+        crowded = crowded_places(keyed).localCheckpoint()
+        before = {tuple(r) for r in cross_pairs(keyed).collect()}
+        meet = cross_pairs(keyed.join(crowded, "at", "left_anti")).union(cross_pairs(delta_keys(keyed, crowded, sets, percent)))
+        after = {tuple(r) for r in meet.collect()}
+        links = {(a, b) for a in known for b in known if a < b and 100 * len(known[a] & known[b]) >= percent * len(known[a] | known[b])}
+        assert links <= before and links <= after
+        assert share * len(after) <= len(before)
+    check(spark, rows, 85)
